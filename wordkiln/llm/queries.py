@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, quality
+from . import chaining, mixing, neardup, packing, quality
 from .common import table
 
 
@@ -18,8 +19,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of training: which document is passed over when; texts stay where they are."""
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), "doc_id", F.col("_tokens").alias("n_tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op4_packing, op5_substring_dedup, op7_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
