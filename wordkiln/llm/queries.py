@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, mixing, neardup, packing, quality
+from . import chaining, cws, katz, mixing, neardup, packing, quality
 from .common import table
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.perplexities(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -33,8 +37,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), "doc_id", F.col("_tokens").alias("n_tokens"))
 
 
+def op10_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_quality_rules, op4_packing, op5_substring_dedup, op7_source_mixing)}
+    return {f.__name__: f for f in (op1_katz_backoff, op2_simhash_near_dedup, op3_quality_rules, op4_packing, op5_substring_dedup, op7_source_mixing, op10_weighted_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
