@@ -1 +1 @@
-
+"""Column expressions over texts, tokens and vectors."""

@@ -1 +1 @@
-
+"""Transforms of whole tables."""

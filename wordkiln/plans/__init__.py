@@ -1 +1 @@
-
+"""The catalogue of queries, and the SQL they are held against."""

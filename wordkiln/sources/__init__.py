@@ -1 +1 @@
-
+"""Readers, sinks and the index store."""

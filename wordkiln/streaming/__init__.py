@@ -1 +1 @@
-
+"""Streams of tokens assembled to sentences."""
