@@ -14,6 +14,12 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+def _jitter(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In [0, 1), by both points alike: parts ties at random, or the same few of many equally near would get all links."""
+    x = np.minimum(a, b).astype(np.uint64) << np.uint64(32) | np.maximum(a, b).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+    return (mix(x, 13) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 class SmallWorld:
     """Points enter in a random order, each linked to the nearest found so far and back, so early links reach far.
 
@@ -28,7 +34,7 @@ class SmallWorld:
             return
         self.forward, self.width = forward, forward + back
         self.links = np.full((self.n, self.width), -1, dtype=np.int64)
-        self.far = np.full((self.n, self.width), 1 << 20, dtype=np.int64)
+        self.far = np.full((self.n, self.width), 1e6)
         self.filled = 0
         while self.filled < self.n:
             at, end = self.filled, min(self.n, max(64, min(self.filled + BATCH, 2 * self.filled)))
@@ -40,6 +46,7 @@ class SmallWorld:
                 found, d = self.search(new, beam)
                 ids, dist = np.concatenate([found, ids], axis=1), np.concatenate([d, dist], axis=1)
             k = min(forward, ids.shape[1] - (at == 0))
+            dist = dist + _jitter(np.arange(at, end)[:, None], ids)
             best = np.argsort(dist, axis=1, kind="stable")[:, :k]
             self.filled = end
             ids, dist = np.take_along_axis(ids, best, 1), np.take_along_axis(dist, best, 1)
@@ -48,7 +55,7 @@ class SmallWorld:
 
     def _link_back(self, source: np.ndarray, target: np.ndarray, dist: np.ndarray) -> None:
         """target gets a link to source in its back slots, which hold the nearest; its own links always stay."""
-        keep = dist < 1 << 20
+        keep = dist < 1e6
         source, target, dist = source[keep], target[keep], dist[keep]
         s = np.lexsort((source, dist, target))
         source, target, dist = source[s], target[s], dist[s]
@@ -58,7 +65,7 @@ class SmallWorld:
         keep = rank < back
         rows = target[first]
         slot = np.searchsorted(rows, target[keep])
-        ids, far = np.full((len(rows), back), -1, dtype=np.int64), np.full((len(rows), back), 1 << 20, dtype=np.int64)
+        ids, far = np.full((len(rows), back), -1, dtype=np.int64), np.full((len(rows), back), 1e6)
         ids[slot, rank[keep]], far[slot, rank[keep]] = source[keep], dist[keep]
         ids, far = np.concatenate([self.links[rows, self.forward :], ids], 1), np.concatenate([self.far[rows, self.forward :], far], 1)
         best = np.argsort(far, axis=1, kind="stable")[:, :back]
