@@ -256,8 +256,10 @@ _FIELD_TYPES = {str: "string", int: "bigint", float: "double", bool: "boolean"}
 
 
 def extracted(c: Column, fields: dict[str, type]) -> Column:
-    """struct of the fields of an answer's object; null without one."""
-    return F.from_json(answer_json(c), ", ".join(f"`{k}` {_FIELD_TYPES.get(t, 'string')}" for k, t in fields.items()))
+    """struct of the fields of an answer's object, cast to their types where they can be; null without one."""
+    body = answer_json(c)
+    raw = F.from_json(body, ", ".join(f"`{k}` string" for k in fields))
+    return F.when(body.isNotNull(), F.struct(*[raw[k].try_cast(_FIELD_TYPES.get(t, "string")).alias(k) for k, t in fields.items()]))
 
 
 def index_terms(c: Column) -> Column:

@@ -61,7 +61,14 @@ def translate_windows(df: DataFrame, translate: Callable[[Column], Column], key:
     Each different window is translated once, then joined back.
     """
     t = df.select(F.col(key).alias("_k"), X.tokens(F.col(text)).alias("w"))
-    windows = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("s")))).otherwise(F.array().cast("array<struct<n:int,at:int,s:string>>")) for n in (4, 3, 2)]))
+    kind = "array<struct<n:int,at:int,s:string>>"
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        found = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("s")))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast(kind))
+
+    windows = F.flatten(F.array(of(4), of(3), of(2)))
     every = t.select("_k", F.explode(windows).alias("x")).select("_k", "x.*").filter(X.has_cyrillic(F.col("s")))
     known = every.select("s", "n").distinct().withColumn("to", translate(F.col("s"))).filter(acceptable(F.col("to"), F.col("n"))).select("s", "to")
     hits = every.join(known, "s").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "at", "to"))).alias("h"))

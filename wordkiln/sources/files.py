@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,18 +56,47 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("source", F.posexplode(lines(F.col("t"))).alias("pos", "text"))
 
 
-def charset(spark: SparkSession, path: str, preferred: str = "utf-8") -> str:
-    """The first of preferred, windows-1251 and latin-1 in which every file's bytes are valid."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    for name in (preferred, "windows-1251"):
-        if files.filter(~F.is_valid_utf8(F.col("content").cast("string")) if name.lower().replace("-", "") == "utf8" else F.instr(F.decode("content", name), "�") > 0).limit(1).count() == 0:
-            return name
-    return "iso-8859-1"
+CHARSETS = ("utf-8", "cp1251", "latin-1")
+
+
+def decoded(raw: bytes, preferred: str = "utf-8") -> str:
+    """Text of bytes in the first charset that takes them; latin-1 takes any."""
+    for name in (preferred, *CHARSETS):
+        try:
+            return raw.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            continue
+    raise AssertionError("latin-1 takes all bytes")
+
+
+def _csv_cells(column: str | None, encoding: str):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, raw in zip(pdf["path"], pdf["content"], strict=True):
+                rows = csv.reader(io.StringIO(decoded(bytes(raw), encoding), newline=""))
+                header = next(rows, [])
+                name = column or text_column(header) or (header[0] if header else None)
+                if name in header:
+                    at = header.index(name)
+                    cells = (r[at].strip() for r in rows if at < len(r))
+                    out += [(path, i, t) for i, t in enumerate(c for c in cells if c)]
+            yield pd.DataFrame(out, columns=["source", "pos", "text"]).astype({"pos": "int32"})
+
+    return run
 
 
 def read_csv(spark: SparkSession, path: str, column: str | None = None, encoding: str = "utf-8") -> DataFrame:
-    """The text column's cells, stripped, without empty ones; a column that isn't there gives nothing."""
-    d = spark.read.csv(path, header=True, encoding=charset(spark, path, encoding), multiLine=True, escape='"')
+    """The text column's cells, stripped, without empty ones; a column that isn't there gives nothing.
+
+    Files of valid UTF-8 are read by the native reader. If any isn't, each is decoded by the first charset that takes it,
+    a file a task.
+    """
+    raw = spark.read.format("binaryFile").load(path)
+    plain = encoding.lower().replace("-", "") == "utf8" and raw.filter(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count() == 0
+    if not plain:
+        return raw.select("path", "content").mapInPandas(_csv_cells(column, encoding), SCHEMA)
+    d = spark.read.csv(path, header=True, multiLine=True, escape='"')
     name = column or text_column(d.columns) or (d.columns[0] if d.columns else None)
     if name not in d.columns:
         return spark.createDataFrame([], SCHEMA)
