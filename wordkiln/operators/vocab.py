@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,15 +14,26 @@ SPECIAL = ("<PAD>", "<SOS>", "<EOS>", "<UNK>")
 
 
 def build(df: DataFrame, least: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """word, n, id: words of at least `least` counts from id 4 on, the commonest first, equal ones in order of first sight.
-
-    Ids are ranks over the vocabulary alone, which is small beside the texts.
-    """
+    """word, n, id: words of at least `least` counts from id 4 on, the commonest first, equal ones in order of first sight."""
     w = df.select(F.col(key).alias("_k"), F.posexplode(X.tokens(F.lower(text))).alias("_p", "word"))
     c = w.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("_k", "_p")).alias("first")).filter(F.col("n") >= least)
     c = c.filter(~F.col("word").isin(*[s.lower() for s in SPECIAL]))
-    order = Window.orderBy(F.col("n").desc(), "first")
-    return c.select("word", "n", (F.row_number().over(order) + 3).cast("long").alias("id"))
+    return ranked(c, [F.col("n").desc(), F.col("first")], 4).select("word", "n", "id")
+
+
+def ranked(df: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
+    """df with its rows numbered in order, without a task that holds them all: rows are sorted by ranges, and each range's
+    number of rows, known to the driver, shifts the places in it."""
+    s = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sizes = sorted((r[0], r[1]) for r in s.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
+    offsets, total = {}, start
+    for p, n in sizes:
+        offsets[p] = total
+        total += n
+    if not offsets:
+        return s.withColumn(out, F.lit(None).cast("long")).drop("_at")
+    shift = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.shiftright("_at", 33))
+    return s.withColumn(out, (shift + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
 
 
 def encode(df: DataFrame, vocabulary: DataFrame, most: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,6 +59,7 @@ class TextIndex:
         fresh = self.table("chunks").filter(F.col("source").isin(*names))
         terms = fresh.select("source", "doc_id", F.explode(X.index_terms(F.col("normalized"))).alias("term")).groupBy("source", "term", "doc_id").agg(F.count("*").alias("tf"))
         self._write(terms, "postings")
+        self._write(fresh.select("source", "doc_id", F.size(X.index_terms(F.col("normalized"))).cast("long").alias("n_terms")), "lengths")
         if self.embed:
             self._write(fresh.select("doc_id", "source", "text", self.embed(F.col("normalized")).alias("embedding")), "vectors")
         return self
@@ -72,8 +73,11 @@ class TextIndex:
         if self.embed:
             q = self.spark.createDataFrame([(query,)], "q string").select(self.embed(F.col("q")).alias("q"))
             return vectors.top_k(self.table("vectors"), q, k, "doc_id", "embedding", "text")
-        c = self.table("chunks")
-        return lexical.top_texts(c.select("doc_id", F.col("normalized").alias("n"), "text").select("doc_id", "text"), lexical.query_terms(query, self.resources, self.spark), k)
+        terms = lexical.query_terms(query, self.resources, self.spark)
+        hits = lexical.bm25(self.table("postings"), self.table("lengths"), terms).orderBy("rank", "doc_id").limit(3 * k)
+        named = self.table("chunks").select("doc_id", "text").join(F.broadcast(hits), "doc_id")
+        best = named.groupBy("text").agg(F.min(F.struct("rank", "doc_id")).alias("b"))
+        return best.select(F.col("b.doc_id").alias("doc_id"), F.abs("b.rank").alias("score"), "text").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
     def all_chunks(self) -> DataFrame:
         return self.table("vectors").select("text", F.lit(0.0).alias("score"), "doc_id")
