@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import resources as R
 from ..functions import text as X
+from .morphology import Morphology, inflected_like
 
 #: Rows of a dictionary that may be sent to all executors; a larger one is joined by shuffle.
 BROADCAST_WORDS = 2_000_000
@@ -29,11 +30,24 @@ def joined_again(tokens: DataFrame, df: DataFrame, key: str, out: str) -> DataFr
     return df.drop(out).join(parts, df[key] == parts["_key"], "left").drop("_key").withColumn(out, F.coalesce(out, F.lit("")))
 
 
-def replace_words(df: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", out: str = "normalized") -> DataFrame:
-    """The join form of functions.text.replace_words. rules: word, replacement (null deletes); of equal words the last by ord."""
-    last = Window.partitionBy(F.lower("word")).orderBy(F.col("ord").desc())
-    r = rules.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(F.lower("word").alias("w"), "replacement", F.lit(True).alias("hit"))
-    t = exploded(df, key, text).withColumn("w", F.lower("core")).join(hinted(r), "w", "left")
+def replace_words(df: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", out: str = "normalized", morphology: Morphology | None = None, forms: DataFrame | None = None) -> DataFrame:
+    """The join form of functions.text.replace_words. rules: word, replacement (null deletes); of equal words the last by ord.
+
+    With forms (form, lemma) a word without a rule takes that of its lemma (of several rules of a lemma the first by ord),
+    and with a morphology the replacement takes the word's form. Only words that hit reach Python.
+    """
+    last = Window.partitionBy("w").orderBy(F.col("ord").desc())
+    r = rules.withColumn("w", F.lower("word")).withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("w", "replacement", "ord", F.lit(True).alias("hit"))
+    t = exploded(df, key, text).withColumn("w", F.lower("core")).join(hinted(r.drop("ord")), "w", "left")
+    if forms is not None:
+        f = forms.select(F.col("form").alias("w"), "lemma").dropDuplicates(["w"])
+        of_rules = r.join(f, "w", "left").withColumn("lemma", F.coalesce("lemma", "w"))
+        first = Window.partitionBy("lemma").orderBy("ord")
+        by = of_rules.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("lemma", F.col("replacement").alias("lr"), F.lit(True).alias("lhit"))
+        t = t.join(hinted(f), "w", "left").withColumn("lemma", F.coalesce("lemma", "w")).join(hinted(by), "lemma", "left")
+        by_lemma = F.col("hit").isNull() & F.col("lhit").isNotNull()
+        like = inflected_like(F.when(by_lemma, F.col("core")), F.when(by_lemma, F.col("lr")), morphology) if morphology else F.col("lr")
+        t = t.withColumn("replacement", F.when(by_lemma, like).otherwise(F.col("replacement"))).withColumn("hit", F.coalesce("hit", "lhit"))
     done = F.when(F.col("hit").isNull() | (F.col("core") == ""), F.col("token")).otherwise(F.concat("prefix", "replacement", "suffix"))
     return joined_again(t.withColumn(out, done).filter(F.col(out).isNotNull()), df, key, out)
 
