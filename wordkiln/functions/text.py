@@ -73,9 +73,9 @@ def _fold_where(c: Column, steps: list[tuple[str, str]]) -> tuple[Column, Column
     """_fold for the texts in which any of the patterns is found: one look for all spares the others a pass for each."""
     if len(steps) < 2:
         return _fold(c, steps)
-    text, count = _fold(c, steps)
-    some = c.rlike(FLAGS + "|".join(f"(?:{p.removeprefix(FLAGS)})" for p, _ in steps))
-    return F.when(some, text).otherwise(c), F.when(some, count).otherwise(0)
+    any_of = FLAGS + "|".join(f"(?:{p.removeprefix(FLAGS)})" for p, _ in steps)
+    text = let(c, lambda x: F.when(x.rlike(any_of), _fold(x, steps)[0]).otherwise(x))
+    return text, F.when(c.rlike(any_of), _fold(c, steps)[1]).otherwise(0)
 
 
 def replace_phrases(c: Column, rules) -> Column:
@@ -145,8 +145,12 @@ def cleanup(c: Column) -> Column:
 
 def compress(c: Column, resources: R.Resources = R.SEED) -> Column:
     """Fillers, intensifiers and repeats removed; blank texts stay as they are."""
-    ts = dedup_consecutive(drop_intensifiers(tokens(remove_fillers(c, resources.fillers)), resources.intensifiers))
-    return F.when(blank(c), c).otherwise(cleanup(F.array_join(ts, " ")))
+
+    def run(x: Column) -> Column:
+        ts = dedup_consecutive(drop_intensifiers(tokens(remove_fillers(x, resources.fillers)), resources.intensifiers))
+        return F.when(blank(x), x).otherwise(cleanup(F.array_join(ts, " ")))
+
+    return let(c, run)
 
 
 def transliterate(c: Column) -> Column:
