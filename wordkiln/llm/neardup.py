@@ -18,6 +18,7 @@ RADIUS = 28
 SIMILARITY = 0.6
 SHARD = 2048
 PROBES = 5
+SHARDS_A_TASK = 4
 #: Most pivots of the router, which is broadcast: 24 bytes each, and shards grow beyond that number.
 MOST_PIVOTS = 65_536
 #: Most document numbers sent to all executors to pick out the texts to verify; beyond it a join by shuffle does.
@@ -97,8 +98,11 @@ ROUTED = "shard long, home boolean, id long, f0 long, f1 long, label long"
 
 
 def routed(reps: DataFrame, pivots: np.ndarray, probes: int = PROBES) -> DataFrame:
-    """Each fingerprint lives in the shard of its nearest pivot, and is sent as a query to that of each of the nearest few."""
-    return reps.mapInArrow(_routes(pivots, probes), ROUTED)
+    """Each fingerprint lives in the shard of its nearest pivot, and is sent as a query to that of each of the nearest few.
+
+    Tasks are made by shards, not by bytes: a shard's rows are few but its searches aren't.
+    """
+    return reps.mapInArrow(_routes(pivots, probes), ROUTED).repartition(parts(len(pivots), SHARDS_A_TASK), "shard")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
