@@ -80,6 +80,18 @@ def test_audit_reports_recall(documents, corpus):
     assert a["queries"] == 100 and a["recall"] >= 0.9
 
 
+def test_recall_does_not_fall_with_the_number_of_shards(documents):
+    """Unrelated bases, each with one copy of 5-25 % other words: all pairs within the radius, in few shards and in many."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(500):
+        base = _text(rng, 80)
+        rows += [(2 * g, base), (2 * g + 1, _edited(rng, base, rng.uniform(0.05, 0.25)))]
+    for shard in (1024, 10):
+        a = N.audit(documents(rows), queries=1000, shard=shard)
+        assert a["exact"] > 300 and a["recall"] == 1.0
+
+
 def test_simhash_is_the_majority():
     rng = np.random.default_rng(2)
     v = rng.integers(-(2**62), 2**62, 700)

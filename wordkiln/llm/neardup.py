@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: small-world graphs over Hamming distance per shard, verified edges unioned."""
+"""SimHash near-duplicates: every fingerprint compared with every shard, forests of the pairs verified and unioned."""
 
 from __future__ import annotations
 
@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import EMPTY_HASH, WORD_EDGE, dropped, flat, mix, parts, stored
 from .components import components
-from .graph import SmallWorld, hamming
+from .graph import hamming
 
 #: Fingerprints are 128 bits over the set of words; 28 bits apart is a cosine of about 0.77 between word sets.
 RADIUS = 28
 #: Edges hold when the word sets' Jaccard similarity reaches this.
 SIMILARITY = 0.6
-SHARD = 2048
-PROBES = 5
-SHARDS_A_TASK = 4
-#: Most pivots of the router, which is broadcast: 24 bytes each, and shards grow beyond that number.
-MOST_PIVOTS = 65_536
+SHARD = 16_384
+#: Every fingerprint is sent to as many tasks as there are shards; beyond this number shards grow instead.
+MOST_SHARDS = 48
+#: Pairs held by a task before they are thinned to a forest.
+PAIRS = 2_000_000
 #: Most document numbers sent to all executors to pick out the texts to verify; beyond it a join by shuffle does.
 BROADCAST_IDS = 2_000_000
 
@@ -75,34 +75,34 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return d.mapInArrow(_prints, "id long, k0 long, k1 long, n long, f0 long, f1 long")
 
 
-def _routes(pivots: np.ndarray, probes: int):
-    def route(batches):
-        router = SmallWorld(pivots, complete=1024)
-        inverse = np.append(router.order, -1)
-        for b in batches:
-            f = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("f0", "f1")], axis=1)
-            if not len(f):
-                continue
-            ids, _ = router.search(f, max(probes, 1 if router.complete else 16))
-            near = inverse[ids[:, :probes]]
-            rows = np.repeat(np.arange(len(f)), near.shape[1])
-            shard, home = near.ravel(), np.tile(np.arange(near.shape[1]) == 0, len(f))
-            ok = shard >= 0
-            idx = pa.array(rows[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(shard[ok]), pa.array(home[ok]), *(b.column(c).take(idx) for c in ("id", "f0", "f1", "label"))], ["shard", "home", "id", "f0", "f1", "label"])
+def shards_of(n: int, shard: int = SHARD) -> int:
+    return min(MOST_SHARDS, parts(n, shard))
 
-    return route
 
+def _deal(shards: int):
+    def run(batches):
+        for b in batches:
+            rows = np.stack([b.column(c).to_numpy() for c in ("id", "f0", "f1", "label")], axis=1)
+            home = (mix(rows[:, 1].view(np.uint64) ^ mix(rows[:, 2].view(np.uint64), 5), 17) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            ends = np.searchsorted(home[order], np.arange(shards + 1))
+            for t in np.flatnonzero(np.diff(ends)):
+                other = np.arange(shards)
+                pair = np.minimum(t, other) * shards + np.maximum(t, other)
+                blob = np.ascontiguousarray(rows[order[ends[t] : ends[t + 1]]]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.full(shards, t)), pa.array([blob] * shards, pa.binary())], ["pair", "home", "rows"])
 
-ROUTED = "shard long, home boolean, id long, f0 long, f1 long, label long"
+    return run
 
 
-def routed(reps: DataFrame, pivots: np.ndarray, probes: int = PROBES) -> DataFrame:
-    """Each fingerprint lives in the shard of its nearest pivot, and is sent as a query to that of each of the nearest few.
+def dealt(reps: DataFrame, n: int, shard: int = SHARD) -> DataFrame:
+    """pair, home, rows: fingerprints live in shards by a hash, and every two shards, and each with itself, meet in one task.
 
-    Tasks are made by shards, not by bytes: a shard's rows are few but its searches aren't.
+    So each fingerprint is compared with all shards, and what is found doesn't depend on their number. Tasks are made by
+    pairs of shards, not by bytes: a pair's rows are few but its comparisons aren't.
     """
-    return reps.mapInArrow(_routes(pivots, probes), ROUTED).repartition(parts(len(pivots), SHARDS_A_TASK), "shard")
+    shards = shards_of(n, shard)
+    return reps.select("id", "f0", "f1", "label").mapInArrow(_deal(shards), "pair long, home long, rows binary").repartition(shards * (shards + 1) // 2, "pair")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -112,76 +112,134 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _shard_pairs(pdf: pd.DataFrame, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers (a, b) and distance of all pairs found between a row and a row at home."""
-    f = pdf[["f0", "f1"]].to_numpy().view(np.uint64)
-    points, inverse = np.unique(f, axis=0, return_inverse=True)
-    inverse = inverse.ravel()
-    home = pdf["home"].to_numpy()
-    nodes = np.unique(inverse[home])
-    none = np.zeros(0, dtype=np.int64)
-    if not len(nodes):
-        return none, none, none
-    world = SmallWorld(points[nodes])
-    q, p, d = world.within(points, radius)
-    # rows of each distinct fingerprint; equal fingerprints form a chain, so that many equal ones don't make every pair
-    order = np.argsort(inverse, kind="stable")
-    start = np.searchsorted(inverse[order], np.arange(len(points) + 1))
-    first = order[start[:-1]]
-    at_home = np.full(len(points), -1, dtype=np.int64)
-    rows = np.flatnonzero(home)[::-1]
-    at_home[inverse[rows]] = rows
-    chain = np.flatnonzero(np.r_[False, inverse[order][1:] == inverse[order][:-1]])
-    a, b = np.concatenate([first[q], order[chain - 1]]), np.concatenate([at_home[nodes[p]], order[chain]])
-    d = np.concatenate([d, np.zeros(len(chain), dtype=np.int64)])
-    ok = a != b
-    return a[ok], b[ok], d[ok]
-
-
-def _forest(radius: int):
-    """Of the pairs of a shard, those of a minimum spanning forest: if all of them hold, so does every group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _shard_pairs(pdf, radius)
-        ids = pdf["id"].to_numpy()
-        parent, keep = np.arange(len(ids)), []
-        for i in np.argsort(d, kind="stable"):
-            x, y = _find(parent, a[i]), _find(parent, b[i])
-            if x != y:
-                parent[x] = y
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (of 0..n-1) make a minimum spanning forest."""
+    parent, keep = np.arange(n), []
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        x, y = parent[a[at]], parent[b[at]]
+        at, x, y = (v[x != y] for v in (at, x, y))
+        _, first = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
+        for i, p, q in zip(at[first].tolist(), x[first].tolist(), y[first].tolist(), strict=True):
+            p, q = _find(parent, p), _find(parent, q)
+            if p != q:
+                parent[p] = q
                 keep.append(i)
-        x, y = ids[a[keep]], ids[b[keep]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "distance": d[keep]})
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    return np.array(keep, dtype=np.int64)
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: int, same: bool):
+    """(rows of a, rows of b, distances) of all pairs of fingerprints within the radius, piece by piece; same: of i < j alone."""
+    high, wide = 64, 4096
+    x, y, z = np.empty((high, wide), np.uint64), np.empty((high, wide), np.uint8), np.empty((high, wide), np.uint8)
+    for i in range(0, len(a), high):
+        p = a[i : i + high]
+        for j in range(i // wide * wide if same else 0, len(b), wide):
+            q = b[j : j + wide]
+            at = np.s_[: len(p), : len(q)]
+            np.bitwise_count(np.bitwise_xor(p[:, None, 0], q[None, :, 0], out=x[at]), out=y[at])
+            np.bitwise_count(np.bitwise_xor(p[:, None, 1], q[None, :, 1], out=x[at]), out=z[at])
+            np.add(y[at], z[at], out=y[at])
+            if not (hit := y[at] <= radius).any():
+                continue
+            r, c = np.nonzero(hit)
+            d = y[r, c].astype(np.int64)
+            r, c = r + i, c + j
+            ok = r < c if same else np.ones(len(r), dtype=bool)
+            yield r[ok], c[ok], d[ok]
+
+
+EDGES = "a long, b long, distance long"
+
+
+def _edges(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.Table:
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d.astype(np.int64)})
+
+
+def _sides(t: pa.Table, shards: int) -> tuple[list[np.ndarray], bool]:
+    """The rows (id, f0, f1, label) of each of the two shards of a pair, and whether it is one shard with itself."""
+    homes, blobs = t.column("home").to_numpy(), t.column("rows")
+    sides = [np.concatenate([np.frombuffer(blobs[int(i)].as_py(), dtype=np.int64).reshape(-1, 4) for i in np.flatnonzero(homes == h)]) for h in np.unique(homes)]
+    return [x[np.argsort(x[:, 0], kind="stable")] for x in sides], t.column("pair")[0].as_py() % (shards + 1) == 0
+
+
+def _forest(radius: int, shards: int):
+    """Of the pairs of two shards, those of a minimum spanning forest: if all of them hold, so does every group.
+
+    Equal fingerprints, which share a shard, form a chain there; their least id stands for them elsewhere.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        sides, same = _sides(t, shards)
+        if len(sides) < 2 and not same:
+            return _edges(*[np.zeros(0, dtype=np.int64)] * 3)
+        points, ids, chain = [], [], []
+        for x in sides:
+            f, first, inverse = np.unique(x[:, 1:3], axis=0, return_index=True, return_inverse=True)
+            points.append(f.view(np.uint64))
+            ids.append(x[first, 0])
+            order = np.argsort(inverse.ravel(), kind="stable")
+            next_ = np.flatnonzero(np.diff(inverse.ravel()[order]) == 0)
+            chain.append((x[order[next_], 0], x[order[next_ + 1], 0]))
+        names, shift = np.concatenate(ids), 0 if same else len(ids[0])
+        held, size = [np.zeros((3, 0), dtype=np.int64)], 0
+
+        def thin():
+            h = np.concatenate(held, axis=1)
+            return [h[:, spanning(*h, len(names))]]
+
+        for r, c, d in within(points[0], points[-1], radius, same):
+            held.append(np.stack([r, c + shift, d]))
+            size += len(r)
+            if size > PAIRS:
+                held = thin()
+                size = 0
+        a, b, d = thin()[0]
+        more = chain[0] if same else [ids[0][:0]] * 2
+        return _edges(np.concatenate([names[a], more[0]]), np.concatenate([names[b], more[1]]), np.concatenate([d, np.zeros(len(more[0]), dtype=np.int64)]))
 
     return run
 
 
-def _crossing(radius: int):
-    """All pairs of a shard between different labels, whatever their number, by all rows of equal fingerprints."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, label = pdf["id"].to_numpy(), pdf["label"].to_numpy()
-        f = pdf[["f0", "f1"]].to_numpy().view(np.uint64)
-        points, inverse = np.unique(f, axis=0, return_inverse=True)
-        inverse = inverse.ravel()
-        home = pdf["home"].to_numpy()
-        nodes = np.unique(inverse[home])
-        if not len(nodes):
-            return pd.DataFrame({"a": ids[:0], "b": ids[:0], "distance": ids[:0]})
-        q, p, d = SmallWorld(points[nodes]).within(points, radius)
-        left = pd.DataFrame({"q": inverse, "a": ids, "la": label})
-        right = pd.DataFrame({"p": inverse[home], "b": ids[home], "lb": label[home]})
-        got = pd.DataFrame({"q": q, "p": nodes[p], "distance": d}).merge(left, on="q").merge(right, on="p")
-        got = got[got.la != got.lb]
-        return pd.DataFrame({"a": np.minimum(got.a, got.b), "b": np.maximum(got.a, got.b), "distance": got.distance}).drop_duplicates()
+def _crossing(radius: int, shards: int):
+    """All pairs of two shards between different labels, whatever their number."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sides, same = _sides(t, shards)
+        if len(sides) < 2 and not same:
+            return _edges(*[np.zeros(0, dtype=np.int64)] * 3)
+        x, y = sides[0], sides[-1]
+        f, g = (np.ascontiguousarray(v[:, 1:3]).view(np.uint64) for v in (x, y))
+        held = [np.zeros((3, 0), dtype=np.int64)]
+        for r, c, d in within(f, g, radius, same):
+            ok = x[r, 3] != y[c, 3]
+            held.append(np.stack([x[r[ok], 0], y[c[ok], 0], d[ok]]))
+        return _edges(*np.concatenate(held, axis=1))
 
     return run
 
 
-def candidates(rows: DataFrame, radius: int, crossing: bool = False) -> DataFrame:
-    """a < b, distance: pairs within the radius found in the shards; a spanning forest of them, or all that cross labels."""
-    run = (_crossing if crossing else _forest)(radius)
-    return rows.groupBy("shard").applyInPandas(run, "a long, b long, distance long").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+def candidates(reps: DataFrame, n: int, radius: int, shard: int = SHARD, crossing: bool = False) -> DataFrame:
+    """a < b, distance: the pairs within the radius; a spanning forest of each two shards', or all that cross labels."""
+    run = (_crossing if crossing else _forest)(radius, shards_of(n, shard))
+    return dealt(reps, n, shard).groupBy("pair").applyInArrow(run, EDGES)
+
+
+def _thinned(batches):
+    t = pa.Table.from_batches(list(batches))
+    if t.num_rows:
+        a, b, d = (t.column(c).to_numpy() for c in ("a", "b", "distance"))
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        keep = spanning(at[: len(a)], at[len(a) :], d, len(names))
+        yield from _edges(a[keep], b[keep], d[keep]).to_batches()
+
+
+def forest(edges: DataFrame, whole: DataFrame) -> DataFrame:
+    """A minimum spanning forest of the edges. whole: their components, each of which is thinned in one task."""
+    named = edges.join(whole.withColumnRenamed("id", "a"), "a").repartition("group_id")
+    return named.select("a", "b", "distance").mapInArrow(_thinned, EDGES)
 
 
 def verified(docs: DataFrame, edges: DataFrame, key: str, text: str, least: float) -> DataFrame:
@@ -197,24 +255,11 @@ def verified(docs: DataFrame, edges: DataFrame, key: str, text: str, least: floa
     return both.select("a", "b", "distance", "similarity", (F.col("similarity") >= least).alias("holds"))
 
 
-def choose_pivots(reps: DataFrame, n: int, shard: int = SHARD) -> np.ndarray:
-    """About one fingerprint in shard of them (at most MOST_PIVOTS), chosen by a hash, so the same on every run."""
-    want = min(MOST_PIVOTS, parts(n, shard))
-    share = min(1.0, want / max(n, 1) * 1.2 + 16 / max(n, 1))
-    picked = reps.filter(F.pmod(F.xxhash64("f0", "f1", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).select("f0", "f1").distinct()
-    pdf = picked.toPandas()
-    if pdf.empty:
-        pdf = reps.select("f0", "f1").limit(1).toPandas()
-    points = np.unique(pdf.to_numpy(dtype=np.int64).reshape(-1, 2).view(np.uint64), axis=0)
-    order = np.argsort(mix(points[:, 0] ^ mix(points[:, 1], 5), 9), kind="stable")
-    return points[order[:want]]
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, shard: int = SHARD, probes: int = PROBES) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
     """id, group_id (the smallest id of its group), kept (whether it is that one): one row a document.
 
-    Texts equal as words in lower case are one group; of each such text one document enters a shard's graph, every one
-    is a query, and pairs within the radius whose word sets agree are unioned. Documents without a word (null, empty)
+    Texts equal as words in lower case are one group; one document of each such text is compared with those of all
+    others, and pairs within the radius whose word sets agree are unioned. Documents without a word (null, empty)
     are compared with none and stay. Rows with a null key are left out. Rows of one key are one document. Very long
     texts are read whole. An empty table gives an empty one. Other columns are not read.
     """
@@ -225,18 +270,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     n = reps.count()
     if n == 0:
         return prints.select("id", F.col("rep").alias("group_id"), (F.col("id") == F.col("rep")).alias("kept")).distinct()
-    rows = routed(reps, choose_pivots(reps, n, shard), probes)
-    forest = stored(candidates(rows, radius), "forest")
-    first = stored(verified(docs, forest, key, text, similarity), "first")
+    found = stored(candidates(reps, n, radius, shard), "found")
+    whole = stored(components(found.select("a", "b")), "whole")
+    edges = stored(forest(found, whole), "forest")
+    first = stored(verified(docs, edges, key, text, similarity), "first")
     good, bad = first.filter("holds"), first.filter("not holds")
     labels = components(good.select("a", "b"))
     if bad.limit(1).count():
-        whole = components(forest.select("a", "b"))
         broken = bad.select(F.explode(F.array("a", "b")).alias("id")).join(whole, "id").select("group_id").distinct()
         members = whole.join(broken, "group_id", "left_semi").select("id")
         named = members.join(labels, "id", "left").select("id", F.coalesce("group_id", "id").alias("label"))
-        again = routed(reps.drop("label").join(named, "id"), choose_pivots(reps, n, shard), probes)
-        more = candidates(again, radius, crossing=True).join(first.select("a", "b"), ["a", "b"], "left_anti")
+        again = stored(reps.drop("label").join(named, "id"), "again")
+        more = candidates(again, again.count(), radius, shard, crossing=True).join(first.select("a", "b"), ["a", "b"], "left_anti")
         second = stored(verified(docs, stored(more, "more"), key, text, similarity), "second")
         labels = components(good.select("a", "b").unionByName(second.filter("holds").select("a", "b")))
     out = prints.select("id", "rep").distinct().join(labels.select(F.col("id").alias("rep"), "group_id"), "rep", "left")
@@ -249,8 +294,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
-def audit(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, queries: int = 256, shard: int = SHARD, probes: int = PROBES) -> dict:
-    """Recall of the graphs against exact search: of some queries (a bound on the audit alone), all fingerprints within the radius.
+def audit(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, queries: int = 256, shard: int = SHARD) -> dict:
+    """Recall of the candidates against exact search: of some queries (a bound on the audit alone), all fingerprints within the radius.
 
     Exact search compares each of those queries with every fingerprint, in all partitions.
     """
@@ -270,7 +315,7 @@ def audit(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, qid[i])), pa.array(np.maximum(ids, qid[i]))], ["a", "b"])
 
     truth = reps.mapInArrow(exact, "a long, b long").distinct()
-    pairs = routed(reps, choose_pivots(reps, n, shard), probes).groupBy("shard").applyInPandas(_crossing(radius), "a long, b long, distance long").select("a", "b").distinct()
+    pairs = candidates(reps, n, radius, shard, crossing=True)
     wanted, got = truth.count(), truth.join(pairs, ["a", "b"], "left_semi").count()
     dropped(prints)
     return {"queries": len(qid), "exact": wanted, "found": got, "recall": got / wanted if wanted else 1.0}
