@@ -56,6 +56,16 @@ def test_counts_against_brute_force(spark, data):
     assert {(r.key >> K.BITS, r.key & MASK): r.n for r in model.table().collect()} == dict(want)
 
 
+def test_every_word_is_counted(documents):
+    """Words seen once among 70,000 others keep their counts, and a text of them isn't taken for another of unseen words."""
+    common = " ".join(["the", "of"] * 500)
+    rows = [(i, common) for i in range(70)] + [(100, "rare1 rare2 rare3"), (101, "rare4 rare5")]
+    model = K.train(documents(rows))
+    assert len(model.vocabulary) == 7
+    got = {r.doc_id: r.logprob for r in K.score(documents([(1, "rare1 rare2 rare3"), (2, "never seen before")]), model).collect()}
+    assert got[1] > got[2] + 10
+
+
 def test_text_outside_the_corpus(spark, documents, data):
     model = K.train(spark.read.parquet(f"{data}/documents.parquet"))
     logs, bows = _dictionaries(model)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,100 +15,105 @@ from pyspark.sql import functions as F
 from .common import EMPTY_HASH, flat, mix, new_path, parts, stored, word_hashes
 
 ORDER = 2
-#: A word is in the vocabulary if it makes up this share of all words, so there are at most 60,000; the rest are UNKNOWN.
-VOCABULARY_SHARE = 1 / 60_000
 #: n-grams of at least this share of all go to every executor (at most 1,000,000): the rest are so rare that none is a hot key.
 HOT_SHARE = 1e-6
 #: Counts up to this are discounted by Good and Turing's estimate; larger ones are trusted.
 TRUSTED = 5
 BUCKET_TOKENS = 4_000_000
-BITS = 16
+#: Of an id in the keys of Model.table(), the view for inspection; counting and scoring know words by their hashes.
+BITS = 21
 UNKNOWN, START, END = 0, 1, 2
-COMPACT = 6_000_000
+COMPACT = 3_000_000
 
 
-def token_ids(values: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each row's words between order - 1 START and one END, and the new offsets. vocabulary: sorted hashes."""
+def padded(values: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each row's words between order - 1 START and one END, and the new offsets."""
     keep = values != EMPTY_HASH
     offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    values = values[keep]
-    place = np.minimum(np.searchsorted(vocabulary, values), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == values if len(vocabulary) else np.zeros(len(values), dtype=bool)
-    ids = np.where(known, place + 3, UNKNOWN).astype(np.uint64)
+    words = values[keep].view(np.uint64)
     n, extra = len(offsets) - 1, order
     new = offsets + np.arange(n + 1) * extra
     out = np.full(new[-1], START, dtype=np.uint64)
-    out[np.arange(len(ids)) + np.repeat(np.arange(n) * extra + order - 1, np.diff(offsets))] = ids
+    out[np.arange(len(words)) + np.repeat(np.arange(n) * extra + order - 1, np.diff(offsets))] = words
     out[new[1:] - 1] = END
     return out, new
 
 
-def ngrams(ids: np.ndarray, offsets: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end in a word or END (not in START), and their rows."""
+def token_ids(values: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """padded() with the words' ids, places in the vocabulary (sorted hashes) and 3, instead of their hashes."""
+    words, new = padded(values, offsets, order)
+    place = np.minimum(np.searchsorted(vocabulary, words.view(np.int64)), max(len(vocabulary) - 1, 0))
+    known = vocabulary[place] == words.view(np.int64) if len(vocabulary) else np.zeros(len(words), dtype=bool)
+    return np.where(known, place.astype(np.uint64) + np.uint64(3), np.where(words <= END, words, np.uint64(UNKNOWN))), new
+
+
+def joined(h: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """64-bit key of the n-gram of history h and suffix s, themselves keys of the n-grams without its last and first word."""
+    return mix(mix(h, 1) ^ s, 2)
+
+
+def ngrams(words: np.ndarray, offsets: np.ndarray, n: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of history and suffix of the n-grams that end in a word or END (not in START), and their rows. A word's key is its hash."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.flatnonzero(np.arange(len(ids)) - offsets[row] >= order - 1)
-    key = np.zeros(len(at), dtype=np.uint64)
-    for j in range(n):
-        key = (key << np.uint64(BITS)) | ids[at - (n - 1 - j)]
-    return key, row[at]
+    at = np.flatnonzero(np.arange(len(words)) - offsets[row] >= order - 1)
+    if n == 1:
+        return np.zeros(len(at), dtype=np.uint64), words[at], row[at]
+    if n == 2:
+        return words[at - 1], words[at], row[at]
+    return joined(words[at - 2], words[at - 1]), joined(words[at - 1], words[at]), row[at]
+
+
+def _keys(h: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    return s if n == 1 else joined(h, s)
 
 
 class _Tally:
-    """Counts of keys, added up in sorted arrays."""
+    """Counts of n-grams by key, added up in sorted arrays."""
 
     def __init__(self):
-        self.keys, self.counts, self.fresh = [], [], 0
+        self.rows, self.fresh = [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(c)
+    def add(self, keys: np.ndarray, h: np.ndarray, s: np.ndarray) -> None:
+        k, at, c = np.unique(keys, return_index=True, return_counts=True)
+        self.rows.append((k, h[at], s[at], c))
         self.fresh += len(k)
         if self.fresh > COMPACT:
             self.compact()
 
-    def compact(self) -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.concatenate(self.keys), np.concatenate(self.counts)
+    def compact(self) -> tuple[np.ndarray, ...]:
+        k, h, s, c = (np.concatenate(x) for x in zip(*self.rows, strict=True))
         order = np.argsort(k, kind="stable")
-        k, c = k[order], c[order]
+        k, h, s, c = k[order], h[order], s[order], c[order]
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, dtype=np.int64)
-        k, c = k[first], np.add.reduceat(c, first) if len(first) else c
-        self.keys, self.counts, self.fresh = [k], [c], 0
-        return k, c
-
-
-def _batches(keys, counts, extra=None):
-    for lo in range(0, len(keys), 200_000):
-        cols = [pa.array(keys[lo : lo + 200_000].view(np.int64)), pa.array(counts[lo : lo + 200_000].astype(np.int64))]
-        names = ["key", "n"]
-        if extra is not None:
-            cols, names = [pa.array(np.full(len(cols[0]), extra, dtype=np.int32)), *cols], ["level", *names]
-        yield pa.RecordBatch.from_arrays(cols, names)
-
-
-def _count_words(batches):
-    tally = _Tally()
-    for b in batches:
-        values, _ = flat(b.column("h"))
-        tally.add(values[values != EMPTY_HASH].view(np.uint64))
-    if tally.keys:
-        yield from _batches(*tally.compact())
+        self.rows, self.fresh = [(k[first], h[first], s[first], np.add.reduceat(c, first) if len(first) else c)], 0
+        return self.rows[0]
 
 
-def _count_ngrams(vocabulary: np.ndarray, order: int):
+def _count_ngrams(order: int):
     def run(batches):
         tallies = {n: _Tally() for n in range(1, order + 1)}
         for b in batches:
-            ids, offsets = token_ids(*flat(b.column("h")), vocabulary, order)
+            words, offsets = padded(*flat(b.column("h")), order)
             for n, t in tallies.items():
-                t.add(ngrams(ids, offsets, n, order)[0])
+                h, s, _ = ngrams(words, offsets, n, order)
+                t.add(_keys(h, s, n), h, s)
         for n, t in tallies.items():
-            if t.keys:
-                yield from _batches(*t.compact(), n)
+            if t.rows:
+                _, h, s, c = t.compact()
+                for lo in range(0, len(h), 200_000):
+                    part = [x[lo : lo + 200_000] for x in (h, s, c)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), n, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in part)], ["level", "h", "s", "n"])
 
     return run
 
 
+def _keyed(batches):
+    for b in batches:
+        h, s, level = b.column("h").to_numpy().view(np.uint64), b.column("s").to_numpy().view(np.uint64), b.column("level").to_numpy()
+        key = np.where(level == 1, s, joined(h, s)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("level"), pa.array(key), *(b.column(c) for c in ("h", "s", "n"))], ["level", "key", "h", "s", "n"])
+
+
 def discounts(of: dict[int, int], trusted: int = TRUSTED) -> list[float]:
     """Factors for counts 1..trusted from counts of counts, scaled so that what they free is Good and Turing's estimate.
 
@@ -127,86 +134,109 @@ def _bucket(key: Column, buckets: int) -> Column:
 
 
 class Model:
-    """path: table level=n/bucket=b of key, n, logp (of the last word after the others), bow (weight of the key as history).
+    """path: table level=n/bucket=b of key, h, s, n, logp (of the last word after the others), bow (weight of the key as history), delta.
 
-    words: (hash, id, logp, bow) of at most 60,003 ids, held by the driver and sent to tasks; total: number of tokens.
+    Level 1 holds every word and END. unknown: log probability of a word never seen; first_bow and start_bow: weights of
+    START and of START twice, histories that are no n-grams themselves; total: number of tokens. No part of it is held by
+    the driver: vocabulary, logp, bow and table() show a small model by dense ids.
     """
 
-    def __init__(self, spark: SparkSession, path: str, order: int, vocabulary: np.ndarray, logp: np.ndarray, bow: np.ndarray, total: int, buckets: int, start_bow: float = 0.0):
-        self.start_bow = start_bow  # of START twice, the history of a trigram that is no n-gram itself
-        self.spark, self.path, self.order, self.vocabulary, self.logp, self.bow, self.total, self.buckets = spark, path, order, vocabulary, logp, bow, total, buckets
+    def __init__(self, spark: SparkSession, path: str, order: int, unknown: float, first_bow: float, start_bow: float, total: int, buckets: int):
+        self.spark, self.path, self.order, self.total, self.buckets = spark, path, order, total, buckets
+        self.unknown, self.first_bow, self.start_bow = unknown, first_bow, start_bow
 
-    def table(self) -> DataFrame:
-        return self.spark.read.schema("key long, n long, logp double, bow double, delta double, level int, bucket int").parquet(self.path)
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema("key long, h long, s long, n long, logp double, bow double, delta double, level int, bucket int").parquet(self.path)
+
+    @cached_property
+    def _words(self) -> pd.DataFrame:
+        return self.rows().filter("level = 1").select("key", "logp", "bow").toPandas().set_index("key").sort_index()
 
+    @property
+    def vocabulary(self) -> np.ndarray:
+        return self._words.index.drop(END, errors="ignore").to_numpy(dtype=np.int64)
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER, vocabulary_share: float = VOCABULARY_SHARE, bucket_tokens: int = BUCKET_TOKENS) -> Model:
+    def _by_id(self, column: str, unknown: float, start: float) -> np.ndarray:
+        own = self._words[column]
+        return np.concatenate([[unknown, start, own.get(END, unknown)], own.drop(END, errors="ignore").to_numpy(dtype=float)])
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self._by_id("logp", self.unknown, -np.inf)
+
+    @property
+    def bow(self) -> np.ndarray:
+        return self._by_id("bow", 0.0, self.first_bow)
+
+    def table(self) -> DataFrame:
+        """n-grams of two words and more by their words' ids, BITS bits each: at most 2 ** BITS words."""
+        v = self.vocabulary
+        if len(v) + 3 > 1 << BITS:
+            raise ValueError("too many words for ids of BITS bits; read rows()")
+        ids = self.spark.createDataFrame(pd.DataFrame({"w": np.r_[[START, END], v], "id": np.r_[[START, END], np.arange(len(v)) + 3]}), "w long, id long")
+        two = self.rows().filter("level = 2").join(ids.select(F.col("w").alias("h"), F.col("id").alias("a")), "h").join(ids.select(F.col("w").alias("s"), F.col("id").alias("b")), "s")
+        two = two.withColumn("packed", F.shiftleft("a", BITS).bitwiseOR(F.col("b")))
+        out = two
+        if self.order == 3:
+            start = int(joined(*np.full((2, 1), START, dtype=np.uint64)).view(np.int64)[0])
+            pairs = two.select("key", "packed").unionByName(self.spark.createDataFrame([(start, START << BITS | START)], "key long, packed long"))
+            three = self.rows().filter("level = 3").join(pairs.select(F.col("key").alias("h"), F.col("packed").alias("a")), "h").join(pairs.select(F.col("key").alias("s"), F.col("packed").alias("b")), "s")
+            out = two.unionByName(three.withColumn("packed", F.shiftleft("a", BITS).bitwiseOR(F.col("b").bitwiseAND(F.lit((1 << BITS) - 1)))))
+        return out.select(F.col("packed").alias("key"), "n", "logp", "bow", "delta", "level", "bucket")
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS) -> Model:
     """Counts over the whole texts of all rows, up to order words; order is at most 3.
 
     P(w | h) = d(c) c(hw) / c(h) where hw was seen, else bow(h) P(w | h without its first word), with
     bow(h) = (1 - sum of the former) / (1 - sum of P(w | shorter h) over the same w). Where no mass is left to back off
     (all counts trusted), c(h) is taken one larger; where every word was seen after h, the seen ones are scaled to 1.
-    Null and empty texts hold no word but END; an empty table gives a model of no n-grams, where all is UNKNOWN.
+    Every word is counted; UNKNOWN is what no text held, taken as seen half a time. Null and empty texts hold no word but
+    END; an empty table gives a model of no n-grams, where all is UNKNOWN.
     """
     if not 2 <= order <= 3:
         raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     h = docs.select(word_hashes(docs[text]).alias("h"))
-    words = stored(h.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = words.filter(F.col("n") >= max(1.0, vocabulary_share * total)).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
-    vocabulary = np.sort(known)
-    counts = h.mapInArrow(_count_ngrams(vocabulary, order), "level int, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "counts", ["level"])
+    counts = h.mapInArrow(_count_ngrams(order), "level int, h long, s long, n long").groupBy("level", "h", "s").agg(F.sum("n").alias("n"))
+    counts = stored(counts.mapInArrow(_keyed, "level int, key long, h long, s long, n long"), "counts", ["level"])
     of: dict[int, dict[int, int]] = {}
     for r in counts.filter(F.col("n") <= TRUSTED + 1).groupBy("level", "n").count().collect():
         of.setdefault(r["level"], {})[r["n"]] = r["count"]
-    one = counts.filter("level = 1").select("key", "n").toPandas()
-    size = len(vocabulary) + 3
-    c1 = np.zeros(size)
-    c1[one["key"].to_numpy(dtype=np.int64)] = one["n"].to_numpy(dtype=float)
-    tokens = int(c1.sum())
+    one = counts.filter("level = 1")
+    tokens, ends = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("key") == END, 1))).first()
     # every word but START could come: an unseen one (UNKNOWN, END) is taken as seen half a time
-    p1 = np.where(c1 > 0, c1, 0.5)
-    p1[START] = 0
-    p1 /= p1.sum()
-    with np.errstate(divide="ignore"):
-        logp1 = np.log(p1)
+    mass = tokens + 0.5 + (0 if ends else 0.5)
+    unknown = math.log(0.5 / mass)
     buckets = parts(tokens, bucket_tokens)
-    unigrams = F.broadcast(spark.createDataFrame(list(zip(range(size), p1.tolist(), strict=True)), "w long, low double"))
-    mask = (1 << BITS) - 1
-    bow1 = np.zeros(size)
-    levels, start_bow = [], 0.0
+    logp = F.log(F.col("n") / F.lit(mass))
+    levels, first_bow = [one.select("key", "h", "s", "n", logp.alias("logp"), F.lit(0.0).alias("bow"), logp.alias("delta"))], 0.0
+    start_bow = 0.0
+    start = {2: START, 3: int(joined(*np.full((2, 1), START, dtype=np.uint64)).view(np.int64)[0])}
     for n in range(2, order + 1):
         d = discounts(of.get(n, {}))
         factor = F.element_at(F.array(*[F.lit(x) for x in d]), F.least(F.col("n"), F.lit(TRUSTED)).cast("int"))
-        t = counts.filter(F.col("level") == n).select("key", "n", F.shiftright("key", BITS).alias("h"), F.when(F.col("n") <= TRUSTED, factor).otherwise(1.0).alias("d"))
-        if n == 2:
-            t = t.withColumn("w", F.col("key").bitwiseAND(F.lit(mask))).join(unigrams, "w").drop("w")
-        else:
-            lower = levels[-1].select(F.col("key").alias("suffix"), F.exp("logp").alias("low"))
-            t = t.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << (BITS * (n - 1))) - 1))).join(lower, "suffix").drop("suffix")
+        t = counts.filter(F.col("level") == n).select("key", "n", "h", "s", F.when(F.col("n") <= TRUSTED, factor).otherwise(1.0).alias("d"))
+        t = t.join(levels[-1].select(F.col("key").alias("s"), F.exp("logp").alias("low")), "s")
         s = t.groupBy("h").agg(F.sum("n").alias("c"), F.sum(F.col("d") * F.col("n")).alias("kept"), F.sum("low").alias("seen"))
         every = F.col("seen") >= 1 - 1e-9
         denominator = F.when(every, F.col("kept")).when(F.col("kept") < F.col("c") * (1 - 1e-12), F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
         s = s.select("h", denominator.alias("c"), F.when(every, 0.0).otherwise(F.log((1 - F.col("kept") / denominator) / (1 - F.col("seen")))).alias("hbow"))
-        if n == 2:
-            b = s.select("h", "hbow").toPandas()
-            bow1[b["h"].to_numpy(dtype=np.int64)] = b["hbow"].to_numpy(dtype=float)
-        else:
-            up = levels[-1].drop("bow").join(s.select(F.col("h").alias("key"), F.col("hbow").alias("bow")), "key", "left")
-            start_bow = (s.filter(F.col("h") == (START << BITS | START)).select("hbow").first() or [0.0])[0]
-            levels[-1] = up.withColumn("bow", F.coalesce("bow", F.lit(0.0)))
+        s = stored(s, f"histories{n}")
+        up = levels[-1].drop("bow").join(s.select(F.col("h").alias("key"), F.col("hbow").alias("bow")), "key", "left")
+        levels[-1] = up.withColumn("bow", F.coalesce("bow", F.lit(0.0)))
+        weight = (s.filter(F.col("h") == start[n]).select("hbow").first() or [0.0])[0]
+        first_bow, start_bow = (weight, start_bow) if n == 2 else (first_bow, weight)
         logp = F.log(F.col("d") * F.col("n") / F.col("c"))
-        t = t.join(s, "h").select("key", "n", logp.alias("logp"), F.lit(0.0).alias("bow"), (logp - F.col("hbow") - F.log("low")).alias("delta"))
+        t = t.join(s, "h").select("key", "h", "s", "n", logp.alias("logp"), F.lit(0.0).alias("bow"), (logp - F.col("hbow") - F.log("low")).alias("delta"))
         levels.append(t if n == order else stored(t, f"level{n}"))
-    out = levels[0].withColumn("level", F.lit(2))
-    for n, t in enumerate(levels[1:], 3):
+    out = levels[0].withColumn("level", F.lit(1))
+    for n, t in enumerate(levels[1:], 2):
         out = out.unionByName(t.withColumn("level", F.lit(n)))
     path = new_path(spark, "katz")
-    out = out.select("key", "n", "logp", "bow", "delta", "level", _bucket(F.col("key"), buckets).alias("bucket"))
+    out = out.select("key", "h", "s", "n", "logp", "bow", "delta", "level", _bucket(F.col("key"), buckets).alias("bucket"))
     out.repartition("level", "bucket").write.partitionBy("level", "bucket").option("compression", "zstd").parquet(path)
-    return Model(spark, path, order, vocabulary, logp1, bow1, tokens, buckets, start_bow)
+    return Model(spark, path, order, unknown, first_bow, start_bow, tokens, buckets)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -228,38 +258,39 @@ def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     return [_unplanes(raw[i * n : (i + 1) * n], k) for i, k in enumerate(kinds)]
 
 
-def _spread(vocabulary, logp, bow, start_bow, hot, order, buckets):
-    """Of each batch: sums of what the words and the hot n-grams give (kind 0), and the other n-grams by bucket (kind 1)."""
+def _place(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a key: keys are hashes, so their upper bits do, and keys in order come bucket by bucket."""
+    return (key >> np.uint64(48)).astype(np.int64) * buckets >> 16
+
+
+def _spread(start: float, hot, order, buckets):
+    """Of each batch: sums of what the hot words and n-grams give (kind 0), and the other ones by bucket (kind: their length)."""
 
     def run(batches):
         for b in batches:
-            ids, offsets = token_ids(*flat(b.column("h")), vocabulary, order)
+            words, offsets = padded(*flat(b.column("h")), order)
             docs = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(docs):
                 continue
             rows_out: list[tuple] = []
-            two, row = ngrams(ids, offsets, 2, order)
-            mask = np.uint64((1 << BITS) - 1)
-            value = logp[(two & mask).astype(np.int64)] + bow[(two >> np.uint64(BITS)).astype(np.int64)]
-            total = np.bincount(row, value, minlength=len(docs)) + start_bow
-            count = np.bincount(row, minlength=len(docs)).astype(np.float64)
-            for n in range(2, order + 1):
-                key = two if n == 2 else ngrams(ids, offsets, n, order)[0]
+            total = np.full(len(docs), start)
+            for n in range(1, order + 1):
+                h, s, row = ngrams(words, offsets, n, order)
+                key = _keys(h, s, n)
+                if n == 1:
+                    count = np.bincount(row, minlength=len(docs)).astype(np.float64)
                 hot_key, hot_value = hot[n]
                 if len(hot_key):
                     at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
                     hit = hot_key[at] == key
                     total += np.bincount(row[hit], hot_value[at[hit]], minlength=len(docs))
-                    cold, rows = key[~hit], row[~hit]
-                else:
-                    cold, rows = key, row
-                place = (mix(cold, 77) >> np.uint64(48)).astype(np.int64) * buckets >> 16
-                order_by = np.lexsort((cold, place)) if n * BITS > 48 else np.argsort((place.astype(np.uint64) << np.uint64(48)) | cold, kind="stable")
-                cold, rows, place = cold[order_by], rows[order_by], place[order_by]
-                ends = np.searchsorted(place, np.arange(buckets + 1))
+                    key, row = key[~hit], row[~hit]
+                by = np.argsort(key, kind="stable")
+                key, row = key[by], row[by]
+                ends = np.searchsorted(_place(key, buckets), np.arange(buckets + 1))
                 for p in np.flatnonzero(np.diff(ends)):
-                    k = cold[ends[p] : ends[p + 1]]
-                    rows_out.append((int(p), n, _packed(np.diff(k, prepend=np.uint64(0)), docs[rows[ends[p] : ends[p + 1]]])))
+                    k = key[ends[p] : ends[p + 1]]
+                    rows_out.append((int(p), n, _packed(np.diff(k, prepend=np.uint64(0)), docs[row[ends[p] : ends[p + 1]]])))
             rows_out.append((int(docs[0] % buckets), 0, _packed(docs, total, count)))
             p, kind, blob = zip(*rows_out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["place", "kind", "blob"])
@@ -272,15 +303,15 @@ def _sum_docs(docs, total, count):
     return d, np.bincount(at, total, minlength=len(d)), np.bincount(at, count, minlength=len(d))
 
 
-def _lookup(order: int, doc_buckets: int):
-    """Join of one bucket's n-grams with the model's rows: their sums by document, split by bucket of documents."""
+def _lookup(order: int, doc_buckets: int, unknown: float):
+    """Join of one bucket's words and n-grams with the model's rows: their sums by document, split by bucket of documents."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds, blobs = left.column("kind").to_pylist(), left.column("blob")
         docs, total, count = [], [], []
         tables = {}
         level, key, value = (right.column(c).to_numpy() for c in ("level", "key", "value"))
-        for n in range(2, order + 1):
+        for n in range(1, order + 1):
             own = level == n
             s = np.argsort(key[own].view(np.uint64))
             tables[n] = key[own].view(np.uint64)[s], value[own][s]
@@ -292,10 +323,11 @@ def _lookup(order: int, doc_buckets: int):
                 step, d = _unpacked(blob, np.uint64, np.int64)
                 k = np.cumsum(step, dtype=np.uint64)
                 have, values = tables[kind]
-                t, c = np.zeros(len(k)), np.zeros(len(k))
+                absent = unknown if kind == 1 else 0.0
+                t, c = np.full(len(k), absent), np.zeros(len(k))
                 if len(have):
                     at = np.minimum(np.searchsorted(have, k), len(have) - 1)
-                    t = np.where(have[at] == k, values[at], 0.0)
+                    t = np.where(have[at] == k, values[at], absent)
                 d, t, c = _sum_docs(d, t, c)
             docs.append(d), total.append(t), count.append(c)
         if not docs:
@@ -322,9 +354,9 @@ def _total(t: pa.Table) -> pa.Table:
 
 def hot_rows(model: Model, share: float = HOT_SHARE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """level -> sorted keys and values of the n-grams that make up at least share of all: at most 1 / share a level."""
-    pdf = model.table().filter(F.col("n") >= max(2.0, share * model.total)).select("level", "key", (F.col("delta") + F.col("bow")).alias("value")).toPandas()
+    pdf = model.rows().filter(F.col("n") >= max(2.0, share * model.total)).select("level", "key", (F.col("delta") + F.col("bow")).alias("value")).toPandas()
     out = {}
-    for n in range(2, model.order + 1):
+    for n in range(1, model.order + 1):
         own = pdf[pdf.level == n]
         key = own["key"].to_numpy(dtype=np.int64).view(np.uint64)
         s = np.argsort(key)
@@ -338,7 +370,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     log P(w | h) is logp(hw) if hw is stored, else bow(h) + log P(w | h without its first word), down to the words'
     own logp. The table holds delta = logp(hw) - bow(h) - log P(w | shorter h), so that a token's recursion is the sum of
     the words' part, of bow of each history and of delta of each n-gram that is stored, and each part is looked up where
-    its rows are: words and hot n-grams in every task, others in the partition of their bucket.
+    its rows are: hot words and n-grams in every task, others in the partition of their bucket.
 
     Rows with a null key are left out; rows of one key are one document, their tokens added up. Null and empty texts
     hold END alone. Very long texts count whole. An empty table gives an empty one. Other columns are not read.
@@ -346,10 +378,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     d = docs.select(docs[key].cast("long").alias("doc_id"), word_hashes(docs[text]).alias("h")).filter("doc_id is not null")
     hot = hot_rows(model)
     least = max(2.0, HOT_SHARE * model.total)
-    spread = d.mapInArrow(_spread(model.vocabulary, model.logp, model.bow, model.start_bow, hot, model.order, model.buckets), "place int, kind int, blob binary")
-    rows = model.table().filter(F.col("n") < least).select("level", "key", (F.col("delta") + F.col("bow")).alias("value"))
+    spread = d.mapInArrow(_spread(model.first_bow + model.start_bow, hot, model.order, model.buckets), "place int, kind int, blob binary")
+    rows = model.rows().filter(F.col("n") < least).select("level", "key", (F.col("delta") + F.col("bow")).alias("value"))
     rows = rows.mapInArrow(_places(model.buckets), "place int, level int, key long, value double")
-    found = spread.groupBy("place").cogroup(rows.groupBy("place")).applyInArrow(_lookup(model.order, model.buckets), "place int, blob binary")
+    found = spread.groupBy("place").cogroup(rows.groupBy("place")).applyInArrow(_lookup(model.order, model.buckets, model.unknown), "place int, blob binary")
     return found.groupBy("place").applyInArrow(_total, SCORES)
 
 
@@ -357,7 +389,7 @@ def _places(buckets: int):
     def run(batches):
         for b in batches:
             k = b.column("key").to_numpy().view(np.uint64)
-            place = ((mix(k, 77) >> np.uint64(48)).astype(np.int64) * buckets >> 16).astype(np.int32)
+            place = _place(k, buckets).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), b.column("level"), b.column("key"), b.column("value")], ["place", "level", "key", "value"])
 
     return run
