@@ -71,6 +71,23 @@ def test_planted_passages(documents):
     assert not got  # neither first documents nor clean ones
 
 
+def test_fuzzy_passages_against_brute_force_alignment(documents):
+    """55 words with random words changed: of those that align at the identity over their whole length, most are found."""
+    rng = random.Random(12)
+    rows, planted = [], {}
+    for rate in (0.1, 0.15, 0.2, 0.25, 0.3):
+        for _ in range(60):
+            p, i = _words(rng, 55), len(rows)
+            q = [w if rng.random() >= rate else "changed" + str(rng.randrange(10**6)) for w in p]
+            rows += [(i, " ".join(_words(rng, 30) + p + _words(rng, 30))), (i + 1, " ".join(_words(rng, 30) + q + _words(rng, 30)))]
+            if sum(a == b for a, b in zip(p, q, strict=True)) >= C.IDENTITY * len(p):
+                planted.setdefault(rate, []).append(i + 1)
+    found = {r.doc_id for r in C.passages(documents(rows)).collect()}
+    recall = {rate: sum(i in found for i in ids) / len(ids) for rate, ids in planted.items()}
+    print(recall)
+    assert all(recall[rate] >= least for rate, least in ((0.1, 0.95), (0.15, 0.9), (0.2, 0.75)))
+
+
 def test_parts_from_different_documents_join(documents):
     rng = random.Random(9)
     a, b, x = _words(rng, 30), _words(rng, 30), _words(rng, 40)

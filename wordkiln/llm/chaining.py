@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import flat, mix, stored
 
-K = 6
+K = 4
 #: Of every WINDOW k-mers in a row at least the least by hash is a seed, in whatever document they stand.
-WINDOW = 8
+WINDOW = 4
 #: Words in a row that must be covered; an edge is found to the word unless words beside it differ, hence less than 50.
 MIN_WORDS = 40
 MAX_GAP = 24
@@ -189,7 +189,7 @@ def _chain(min_words: int):
                 while j < len(found) and found[j][0] == found[i][0] and found[j][2] - far <= 2 * REACH:
                     far = max(far, found[j][3])
                     j += 1
-                if far - found[i][2] + 2 * (K + WINDOW - 2) >= min_words:
+                if far - found[i][2] + 2 * REACH >= min_words:
                     out += found[i:j]
                 i = j
             cols = list(zip(*out, strict=True)) or [[]] * 7
