@@ -37,3 +37,23 @@ def test_entry(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(e.queries())
+
+
+def test_style_predict_trains_with_the_default_terms(spark, data, monkeypatch):
+    import inspect
+
+    from wordkiln.operators.stylemodel import FEATURES, StyleModel
+
+    class Trained(Exception):
+        pass
+
+    def train(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Trained(bound.arguments["features"])
+
+    real = StyleModel.train
+    monkeypatch.setattr(StyleModel, "train", train)
+    with pytest.raises(Trained) as e:
+        catalog.queries()["style_predict"](spark, data)
+    assert e.value.args == (FEATURES,)

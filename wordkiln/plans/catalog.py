@@ -439,7 +439,7 @@ def style_predict(spark, d):
     """A style model trained on the labelled documents, predicting all of them."""
     docs = _docs(spark, d)
     labelled = docs.join(_table(spark, d, "labels"), "doc_id").select("text", F.col("quality").cast("string").alias("label"))
-    return StyleModel.train(labelled, features=2000).predict(docs.select("doc_id", "text")).select("doc_id", "style")
+    return StyleModel.train(labelled).predict(docs.select("doc_id", "text")).select("doc_id", "style")
 
 
 @query()
