@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: XXH64 of no bytes with Spark's seed 42: the hash of the empty token that splitting leaves at a text's edges.
 EMPTY_HASH = np.int64(-7444071767201028348)
 WORD_EDGE = r"[^\p{L}\p{N}]+"
+#: Bytes of a table (rows times the width its caller states) that may be sent to every executor.
+BROADCAST_BYTES = 32 << 20
 _local: dict[str, str] = {}
 
 
@@ -86,3 +90,43 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def parts(n_rows: int, target: int, least: int = 1) -> int:
     return max(least, -(-n_rows // target))
+
+
+def bounded(df: DataFrame, width: int) -> DataFrame:
+    """df marked for broadcast if its rows, counted, take at most BROADCAST_BYTES at width bytes each; else as it is."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def record_key(docs: DataFrame, key: str) -> Column:
+    """The key as a long. Keys must be whole numbers: results carry them, and order and least keys are theirs."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be a column of whole numbers, not {docs.schema[key].dataType.simpleString()}")
+    return docs[key].cast("long")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, or with underscores in front of it, so that no column bears it (case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def runs(batches, key: str) -> Iterator[pa.Table]:
+    """Tables of whole runs of key, which comes sorted."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(key).to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1], side="left"))
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = [b.slice(cut)]
+        elif held and held[-1].column(key)[0].as_py() != ids[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

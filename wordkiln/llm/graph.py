@@ -111,26 +111,27 @@ class SmallWorld:
             key[active] = np.sort(np.concatenate([k, new], axis=1), axis=1)[:, :beam]
 
     def within(self, queries: np.ndarray, radius: int, beam: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of query, position, distance) of the points found within the radius.
+        """(row of query, position, distance) of the points found within the radius."""
+        z = np.zeros(0, dtype=np.int64)
+        r, p, d = (np.concatenate(x) for x in zip((z, z, z), *self.pieces(queries, radius, beam), strict=True))
+        return r, p, d
 
-        A beam that ends full of points within it may have missed more: it is widened fourfold and searched again, and
-        if it fills again the query is compared with every point.
+    def pieces(self, queries: np.ndarray, radius: int, beam: int = 16):
+        """within() piece by piece, so that a ball of many points is never held as pairs.
+
+        A beam that ends full of points within the radius may have missed more: it is widened fourfold and searched
+        again, and if it fills again the query is compared with every point.
         """
-        out, rows = [], np.arange(len(queries))
+        rows = np.arange(len(queries))
         for width in (beam, 4 * beam):
-            if not len(rows) or width >= self.n:
+            if not len(rows) or width >= self.n or self.complete:
                 break
             ids, dist = self.search(queries[rows], width)
             full = dist[:, -1] <= radius
             r, c = np.nonzero((dist <= radius) & ~full[:, None])
-            out.append((rows[r], ids[r, c], dist[r, c]))
+            yield rows[r], self.order[ids[r, c]], dist[r, c]
             rows = rows[full]
         for i in range(0, len(rows), 64):
             d = hamming(queries[rows[i : i + 64]][:, None], self.points[None])
             r, c = np.nonzero(d <= radius)
-            out.append((rows[i + r], c, d[r, c]))
-        if not out:
-            z = np.zeros(0, dtype=np.int64)
-            return z, z, z
-        r, p, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        return r, self.order[p], d
+            yield rows[i + r], self.order[c], d[r, c]
