@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import gc
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EMPTY_HASH, flat, mix, new_path, parts, stored, word_hashes
+from .common import EMPTY_HASH, dropped, flat, mix, new_path, parts, record_key, stored, word_hashes
 
 ORDER = 2
-#: n-grams of at least this share of all go to every executor (at most 1,000,000): the rest are so rare that none is a hot key.
+#: Words and n-grams of at least this share of all go to every executor (at most 1,000,000 of each): the rest are so rare that none is a hot key.
 HOT_SHARE = 1e-6
 #: Counts up to this are discounted by Good and Turing's estimate; larger ones are trusted.
 TRUSTED = 5
-BUCKET_TOKENS = 4_000_000
-#: Of an id in the keys of Model.table(), the view for inspection; counting and scoring know words by their hashes.
+BUCKET_TOKENS = 2_000_000
+#: Of an id in the keys of Model.table(), the view for inspection; counting and scoring know words by their codes.
 BITS = 21
 UNKNOWN, START, END = 0, 1, 2
-COMPACT = 3_000_000
+#: Code of the first hot word.
+FIRST = 3
+COMPACT = 2_000_000
+#: Bigrams of one stored blob.
+ROWS = 1_000_000
 
 
 def padded(values: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +70,21 @@ def ngrams(words: np.ndarray, offsets: np.ndarray, n: int, order: int) -> tuple[
     return joined(words[at - 2], words[at - 1]), joined(words[at - 1], words[at]), row[at]
 
 
-def _keys(h: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
-    return s if n == 1 else joined(h, s)
+def coded(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Codes of padded() words: START and END stay, a hot word's is its place in hot (sorted hashes) and FIRST, another's is its hash."""
+    if not len(hot):
+        return words
+    at = np.minimum(np.searchsorted(hot, words.view(np.int64)), len(hot) - 1)
+    return np.where(hot[at] == words.view(np.int64), at.astype(np.uint64) + np.uint64(FIRST), words)
+
+
+def _place(h: np.ndarray, s: np.ndarray, ways: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the bigrams of history h; those of a history with more ways than one are dealt by their suffix."""
+    x = mix(h, 31)
+    small = np.flatnonzero(h < len(ways))
+    many = small[ways[h[small]] > 1]
+    x[many] = mix(h[many] * np.uint64(1 << 20) + mix(s[many], 5) % ways[h[many]].astype(np.uint64), 32)
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 class _Tally:
@@ -77,8 +97,13 @@ class _Tally:
         k, at, c = np.unique(keys, return_index=True, return_counts=True)
         self.rows.append((k, h[at], s[at], c))
         self.fresh += len(k)
-        if self.fresh > COMPACT:
+
+    def full(self) -> bool:
+        """Whether it holds so many keys, even after adding up, that they had better be given away."""
+        if self.fresh > COMPACT // 2:
             self.compact()
+            self.fresh = len(self.rows[0][0])
+        return self.fresh > COMPACT // 2
 
     def compact(self) -> tuple[np.ndarray, ...]:
         k, h, s, c = (np.concatenate(x) for x in zip(*self.rows, strict=True))
@@ -89,29 +114,180 @@ class _Tally:
         return self.rows[0]
 
 
-def _count_ngrams(order: int):
+def _blobs(place: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(place, kind, blob) of rows in order of place and, within it, of the first column, which is stored by its steps."""
+    cut = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[: len(place)], len(place)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        first = columns[0][lo:hi]
+        yield int(place[lo]), kind, _packed(np.diff(first, prepend=np.uint64(0)), *(c[lo:hi] for c in columns[1:]))
+
+
+def _opened(blob: bytes, *kinds) -> list[np.ndarray]:
+    step, *rest = _unpacked(blob, np.uint64, *kinds)
+    return [np.cumsum(step, dtype=np.uint64), *rest]
+
+
+BLOBS = "place int, kind int, blob binary"
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    place, kind, blob = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["place", "kind", "blob"])
+
+
+def _count_words(batches):
+    tally, ends = _Tally(), 0
+
+    def rows():
+        keys, *_, n = tally.compact()
+        tally.rows, tally.fresh = [], 0
+        for lo in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000].view(np.int64)) for x in (keys, n)], ["key", "n"])
+
+    for b in batches:
+        words = flat(b.column("h"))[0].view(np.uint64)
+        words = words[words != np.uint64(EMPTY_HASH.view(np.uint64))]
+        ends += b.num_rows
+        tally.add(words, words, words)
+        if tally.full():
+            yield from rows()
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["key", "n"])
+    if tally.rows:
+        yield from rows()
+
+
+#: Kinds of blobs. PAIR: h, s, n of bigrams with a hot suffix; SUFFIX: s, h, n of the others, by suffix; WIDE: h, s, n, count of
+#: s (0: s is hot); STATS: a history's c, sum of its suffixes' counts and numbers of its bigrams seen 1 to TRUSTED times;
+#: HISTORY: a word's n, denominator and bow; HOT: as WIDE.
+PAIR, SUFFIX, WIDE, STATS, HISTORY, HOT = range(1, 7)
+
+
+def _count_pairs(hot: np.ndarray, ways: np.ndarray, buckets: int, order: int):
     def run(batches):
-        tallies = {n: _Tally() for n in range(1, order + 1)}
+        tally = _Tally()
+
+        def rows():
+            _, h, s, n = tally.compact()
+            tally.rows, tally.fresh = [], 0
+            n = n.astype(np.uint64)
+            cold = s >= len(ways)
+            for kind, own in ((PAIR, ~cold), (SUFFIX, cold)):
+                x, y, c = h[own], s[own], n[own]
+                place = _place(x, y, ways, buckets) if kind == PAIR else _place(y, y, ways, buckets)
+                x, y = (x, y) if kind == PAIR else (y, x)
+                by = np.lexsort((y, x, place))
+                for r in _blobs(place[by], kind, x[by], y[by], c[by]):
+                    yield _batch([r])
+
         for b in batches:
             words, offsets = padded(*flat(b.column("h")), order)
-            for n, t in tallies.items():
-                h, s, _ = ngrams(words, offsets, n, order)
-                t.add(_keys(h, s, n), h, s)
-        for n, t in tallies.items():
-            if t.rows:
-                _, h, s, c = t.compact()
-                for lo in range(0, len(h), 200_000):
-                    part = [x[lo : lo + 200_000] for x in (h, s, c)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), n, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in part)], ["level", "h", "s", "n"])
+            h, s, _ = ngrams(coded(words, hot), offsets, 2, order)
+            tally.add(joined(h, s), h, s)
+            if tally.full():
+                yield from rows()
+        if tally.rows:
+            yield from rows()
 
     return run
 
 
-def _keyed(batches):
+def _summed(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of x and y, counts of equal ones added up."""
+    by = np.lexsort((y, x))
+    x, y, n = x[by], y[by], n[by]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[first], y[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _stats(h: np.ndarray, n: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+    """STATS of histories, sorted: rows come sorted by h."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return [h[first], np.add.reduceat(n, first), np.add.reduceat(low, first), *(np.add.reduceat((n == r).astype(np.uint64), first) for r in range(1, TRUSTED + 1))]
+
+
+def _of(t: pa.Table, kind: int, columns: int, dtype=np.uint64) -> list[np.ndarray]:
+    """The rows of a place's blobs of one kind."""
+    kinds, blobs = t.column("kind").to_numpy(), t.column("blob")
+    got = [_opened(blobs[int(i)].as_py(), *[dtype] * (columns - 1)) for i in np.flatnonzero(kinds == kind)]
+    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=dtype)] * (columns - 1)]
+
+
+def _wide(place: int, h, s, n, ns) -> Iterator[tuple[int, int, bytes]]:
+    for lo in range(0, len(h), ROWS):
+        x = [c[lo : lo + ROWS] for c in (h, s, n, ns)]
+        yield from _blobs(np.full(len(x[0]), place), WIDE, *x)
+
+
+def _first_counts(counts: np.ndarray, ways: np.ndarray, buckets: int):
+    """Of a place: its bigrams of hot suffixes counted (WIDE) and their histories' STATS; those of cold suffixes, which the place
+    holds by suffix and so can count the suffix itself, sent on to their histories' places (PAIR of four columns)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        place, out = t.column("place")[0].as_py(), []
+        h, s, n = _summed(*_of(t, PAIR, 3))
+        if len(h):
+            st = _stats(h, n, counts[s])
+            out += [*_wide(place, h, s, n, np.zeros(len(h), dtype=np.uint64)), *_blobs(np.full(len(st[0]), place), STATS, *st)]
+        s, h, n = _summed(*_of(t, SUFFIX, 3))
+        if len(s):
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            ns = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(s)]))
+            to = _place(h, s, ways, buckets)
+            by = np.lexsort((s, h, to))
+            out += _blobs(to[by], PAIR, h[by], s[by], n[by], ns[by])
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _then_stats(least: float, hot: int):
+    """Of a place: bigrams of cold suffixes (WIDE), and STATS of all its histories, hot ones apart (HOT), from what both parts give."""
+
+    def run(t: pa.Table) -> pa.Table:
+        place, out = t.column("place")[0].as_py(), []
+        h, s, n, ns = _of(t, PAIR, 4)
+        by = np.lexsort((s, h))
+        h, s, n, ns = (x[by] for x in (h, s, n, ns))
+        out += _wide(place, h, s, n, ns)
+        st = _of(t, STATS, 3 + TRUSTED)
+        if len(h):
+            st = [np.concatenate(x) for x in zip(st, _stats(h, n, ns), strict=True)]
+        if len(st[0]):
+            by = np.argsort(st[0], kind="stable")
+            st = [x[by] for x in st]
+            first = np.flatnonzero(np.r_[True, st[0][1:] != st[0][:-1]])
+            st = [st[0][first], *(np.add.reduceat(x, first) for x in st[1:])]
+            few = st[0] < hot
+            for kind, own in ((HOT, few), (STATS, ~few)):
+                out += _blobs(np.full(own.sum(), place), kind, *(x[own] for x in st))
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _unpack(kind: int, names: list[str], keep=None):
+    """Rows of the blobs of one kind as columns of longs; keep: of the columns, which rows."""
+
+    def run(batches):
+        for b in batches:
+            for k, blob in zip(b.column("kind").to_pylist(), b.column("blob"), strict=True):
+                if k == kind:
+                    cols = _opened(blob.as_py(), *[np.uint64] * (len(names) - 1))
+                    own = slice(None) if keep is None else keep(*cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[own].view(np.int64)) for c in cols], names)
+
+    return run
+
+
+def _counts_of_counts(batches):
+    total = np.zeros(TRUSTED + 2, dtype=np.int64)
     for b in batches:
-        h, s, level = b.column("h").to_numpy().view(np.uint64), b.column("s").to_numpy().view(np.uint64), b.column("level").to_numpy()
-        key = np.where(level == 1, s, joined(h, s)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("level"), pa.array(key), *(b.column(c) for c in ("h", "s", "n"))], ["level", "key", "h", "s", "n"])
+        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob"), strict=True):
+            if kind == WIDE:
+                n = _opened(blob.as_py(), *[np.uint64] * 3)[2]
+                total += np.bincount(np.minimum(n, TRUSTED + 2).astype(np.int64), minlength=TRUSTED + 3)[: TRUSTED + 2]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(TRUSTED + 2)), pa.array(total)], ["r", "n"])
 
 
 def discounts(of: dict[int, int], trusted: int = TRUSTED) -> list[float]:
@@ -129,28 +305,134 @@ def discounts(of: dict[int, int], trusted: int = TRUSTED) -> list[float]:
     return [(r - take) / r for r in range(1, trusted + 1)]
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+@dataclass
+class Known:
+    """What a level-2 model knows beside its tables, and what every task gets: discounts, and the hot words by code.
+
+    words: their sorted hashes; n, c, bow: count, denominator and backoff weight of each code below FIRST + len(words);
+    ways: into how many buckets a code's bigrams are dealt.
+    """
+
+    order: int
+    buckets: int
+    mass: float
+    discounts: list[float]
+    words: np.ndarray
+    ways: np.ndarray
+    n: np.ndarray
+    c: np.ndarray
+    bow: np.ndarray
+    #: By level the keys and values of hot n-grams; FOUR's are backoff weights of bigrams.
+    hot: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    @property
+    def unknown(self) -> float:
+        return math.log(0.5 / self.mass)
+
+    def logp(self, n: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(n, 0.5) / self.mass)
+
+
+def weights(stats: list[np.ndarray], d: list[float], mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """Denominators and backoff weights (logs) of histories from their STATS without h."""
+    c, seen, *of = (x.astype(np.float64) for x in stats)
+    seen = seen / mass
+    kept = c - sum((1 - d[r]) * (r + 1) * x for r, x in enumerate(of))
+    every = seen >= 1 - 1e-9
+    denominator = np.where(every, kept, np.where(kept < c * (1 - 1e-12), c, c + 1.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bow = np.log((1 - kept / denominator) / (1 - seen))
+    return denominator, np.where(every, 0.0, bow)
+
+
+def _histories(d: list[float], mass: float):
+    """STATS to HISTORY: key, n, denominator, bow (the latter two as the bits of doubles)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for place, kind, blob in zip(b.column("place").to_pylist(), b.column("kind").to_pylist(), b.column("blob"), strict=True):
+                if kind == STATS:
+                    h, *st = _opened(blob.as_py(), *[np.uint64] * (2 + TRUSTED))
+                    c, bow = weights(st, d, mass)
+                    rows += _blobs(np.full(len(h), place), HISTORY, h, st[0], c.view(np.uint64), bow.view(np.uint64))
+            yield _batch(rows)
+
+    return run
+
+
+def _cold_words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, n, denominator, bow of a place's cold words."""
+    key, n, c, bow = _of(t, HISTORY, 4)
+    by = np.argsort(key, kind="stable")
+    return key[by], n[by].astype(np.float64), c[by].view(np.float64), bow[by].view(np.float64)
+
+
+def _bigrams(t: pa.Table, known: Known, words) -> tuple[np.ndarray, ...]:
+    """h, s, n, log probability, delta of a place's bigrams. delta = logp(hs) - bow(h) - logp(s)."""
+    h, s, n, ns = _of(t, WIDE, 4)
+    return h, s, n, *_deltas(known, h, s, n, ns, words)
+
+
+def _deltas(known: Known, h, s, n, ns, words) -> tuple[np.ndarray, np.ndarray]:
+    key, _, cold_c, cold_bow = words
+    few = h < len(known.c)
+    at = np.where(few, h, 0).astype(np.int64)
+    c, bow = known.c[at], known.bow[at]
+    if len(key) and not few.all():
+        i = np.searchsorted(key, h[~few])
+        c[~few], bow[~few] = cold_c[i], cold_bow[i]
+    low = known.logp(np.where(ns > 0, ns, known.n[np.where(ns > 0, 0, s).astype(np.int64)]).astype(np.float64))
+    factor = np.array([1.0, *known.discounts, 1.0])[np.minimum(n, TRUSTED + 1).astype(np.int64)]
+    logp = np.log(factor * n / c)
+    return logp, logp - bow - low
 
 
 class Model:
-    """path: table level=n/bucket=b of key, h, s, n, logp (of the last word after the others), bow (weight of the key as history), delta.
+    """path: tables level=1 and level=2 of place (bucket) and blob (sorted columns, compressed), and level=3 of key, h, s, n, logp, delta.
 
-    Level 1 holds every word and END. unknown: log probability of a word never seen; first_bow and start_bow: weights of
-    START and of START twice, histories that are no n-grams themselves; total: number of tokens. No part of it is held by
-    the driver: vocabulary, logp, bow and table() show a small model by dense ids.
+    Level 1 has a cold word's key, n, denominator and bow (weight of the word as history), level 2 a bigram's h, s, n and
+    the count of s if it is cold; hot words are in known. unknown: log probability of a word never seen; first_bow and
+    start_bow: weights of START and of START twice, histories that are no n-grams themselves; total: number of tokens.
+    rows() shows the model as rows with logp, bow and delta; vocabulary, logp, bow and table() show a small one by dense ids.
     """
 
-    def __init__(self, spark: SparkSession, path: str, order: int, unknown: float, first_bow: float, start_bow: float, total: int, buckets: int):
-        self.spark, self.path, self.order, self.total, self.buckets = spark, path, order, total, buckets
-        self.unknown, self.first_bow, self.start_bow = unknown, first_bow, start_bow
+    def __init__(self, spark: SparkSession, path: str, known: Known, total: int, start_bow: float = 0.0):
+        self.spark, self.path, self.known, self.total, self.start_bow = spark, path, known, total, start_bow
+        self.order, self.unknown, self.first_bow = known.order, known.unknown, float(known.bow[START])
+
+    def blobs(self) -> DataFrame:
+        one = self.spark.read.schema(BLOBS).parquet(f"{self.path}/level=1").select("place", "kind", "blob")
+        two = self.spark.read.schema("place int, blob binary").parquet(f"{self.path}/level=2")
+        return one.unionByName(two.select("place", F.lit(WIDE).alias("kind"), "blob"))
+
+    def third(self) -> tuple[DataFrame, DataFrame]:
+        """Trigrams, and the weights of bigrams as histories of such."""
+        read = self.spark.read
+        return read.schema("key long, h long, s long, n long, logp double, delta double").parquet(f"{self.path}/level=3"), read.schema("key long, c double, bow double").parquet(f"{self.path}/backoff")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema("key long, h long, s long, n long, logp double, bow double, delta double, level int, bucket int").parquet(self.path)
+        """level, key, h, s, n, logp, bow, delta: every word and n-gram, words by their codes."""
+        known = self.known
+        out = self.blobs().groupBy("place").applyInArrow(_rows(known), ROW)
+        codes = np.r_[END, np.arange(FIRST, len(known.n))]
+        logp = known.logp(known.n[codes])
+        hot = pd.DataFrame({"level": 1, "key": codes, "h": 0, "s": codes, "n": known.n[codes].astype(np.int64), "logp": logp, "bow": known.bow[codes], "delta": logp})
+        out = out.unionByName(self.spark.createDataFrame(hot[known.n[codes] > 0], ROW)) if (known.n[codes] > 0).any() else out
+        if self.order < 3:
+            return out
+        three, back = self.third()
+        out = out.drop("bow").join(back.select("key", F.lit(2).alias("level"), F.col("bow").alias("b")), ["key", "level"], "left").join(out.select("level", "key", F.col("bow").alias("own")), ["level", "key"]).withColumn("bow", F.coalesce("b", "own"))
+        three = three.select(F.lit(3).alias("level"), "key", "h", "s", "n", "logp", F.lit(0.0).alias("bow"), "delta")
+        return out.select(*three.columns).unionByName(three)
 
     @cached_property
     def _words(self) -> pd.DataFrame:
-        return self.rows().filter("level = 1").select("key", "logp", "bow").toPandas().set_index("key").sort_index()
+        w = self.rows().filter("level = 1").select("key", "logp", "bow").toPandas()
+        w["code"] = w["key"]
+        few = (w["key"] >= FIRST) & (w["key"] < len(self.known.n))
+        w.loc[few, "key"] = self.known.words[w.loc[few, "key"].to_numpy() - FIRST]
+        return w.set_index("key").sort_index()
 
     @property
     def vocabulary(self) -> np.ndarray:
@@ -170,19 +452,43 @@ class Model:
 
     def table(self) -> DataFrame:
         """n-grams of two words and more by their words' ids, BITS bits each: at most 2 ** BITS words."""
-        v = self.vocabulary
-        if len(v) + 3 > 1 << BITS:
+        w = self._words.drop(END, errors="ignore")
+        if len(w) + 3 > 1 << BITS:
             raise ValueError("too many words for ids of BITS bits; read rows()")
-        ids = self.spark.createDataFrame(pd.DataFrame({"w": np.r_[[START, END], v], "id": np.r_[[START, END], np.arange(len(v)) + 3]}), "w long, id long")
-        two = self.rows().filter("level = 2").join(ids.select(F.col("w").alias("h"), F.col("id").alias("a")), "h").join(ids.select(F.col("w").alias("s"), F.col("id").alias("b")), "s")
+        ids = self.spark.createDataFrame(pd.DataFrame({"w": np.r_[[START, END], w["code"].to_numpy(dtype=np.int64)], "id": np.r_[[START, END], np.arange(len(w)) + 3]}), "w long, id long")
+        rows = self.rows()
+        two = rows.filter("level = 2").join(ids.select(F.col("w").alias("h"), F.col("id").alias("a")), "h").join(ids.select(F.col("w").alias("s"), F.col("id").alias("b")), "s")
         two = two.withColumn("packed", F.shiftleft("a", BITS).bitwiseOR(F.col("b")))
         out = two
         if self.order == 3:
             start = int(joined(*np.full((2, 1), START, dtype=np.uint64)).view(np.int64)[0])
             pairs = two.select("key", "packed").unionByName(self.spark.createDataFrame([(start, START << BITS | START)], "key long, packed long"))
-            three = self.rows().filter("level = 3").join(pairs.select(F.col("key").alias("h"), F.col("packed").alias("a")), "h").join(pairs.select(F.col("key").alias("s"), F.col("packed").alias("b")), "s")
+            three = rows.filter("level = 3").join(pairs.select(F.col("key").alias("h"), F.col("packed").alias("a")), "h").join(pairs.select(F.col("key").alias("s"), F.col("packed").alias("b")), "s")
             out = two.unionByName(three.withColumn("packed", F.shiftleft("a", BITS).bitwiseOR(F.col("b").bitwiseAND(F.lit((1 << BITS) - 1)))))
-        return out.select(F.col("packed").alias("key"), "n", "logp", "bow", "delta", "level", "bucket")
+        return out.select(F.col("packed").alias("key"), "n", "logp", "bow", "delta", "level")
+
+
+ROW = "level int, key long, h long, s long, n long, logp double, bow double, delta double"
+
+
+def _rows(known: Known):
+    def run(t: pa.Table) -> pa.Table:
+        key, n, c, bow = words = _cold_words(t)
+        logp = known.logp(n)
+        h, s, m, p, delta = _bigrams(t, known, words)
+        parts_ = ((np.full(len(key), 1), key, np.zeros(len(key), dtype=np.uint64), key, n, logp, bow, logp), (np.full(len(h), 2), joined(h, s), h, s, m, p, np.zeros(len(h)), delta))
+        cols = [np.concatenate(x) for x in zip(*parts_, strict=True)]
+        types = [pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 3]
+        values = [x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64) if i == 4 else x for i, x in enumerate(cols)]
+        return pa.table({f.split()[0]: pa.array(x, k) for f, x, k in zip(ROW.split(", "), values, types, strict=True)})
+
+    return run
+
+
+def released(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage: the cleaner then deletes the shuffle files of what nobody can read any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS) -> Model:
@@ -191,52 +497,140 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, bucket_tokens
     P(w | h) = d(c) c(hw) / c(h) where hw was seen, else bow(h) P(w | h without its first word), with
     bow(h) = (1 - sum of the former) / (1 - sum of P(w | shorter h) over the same w). Where no mass is left to back off
     (all counts trusted), c(h) is taken one larger; where every word was seen after h, the seen ones are scaled to 1.
-    Every word is counted; UNKNOWN is what no text held, taken as seen half a time. Null and empty texts hold no word but
-    END; an empty table gives a model of no n-grams, where all is UNKNOWN.
+    Every word and n-gram is counted; UNKNOWN is what no text held, taken as seen half a time. Null and empty texts hold no
+    word but END; an empty table gives a model of no n-grams, where all is UNKNOWN.
+
+    A bigram is counted in the bucket of its history, whose words before it are then all there; its suffix's own count is
+    at hand if the suffix is hot, and else counted on the way, where bigrams lie by suffix. Histories of many tokens are
+    dealt to several buckets by the suffix.
     """
     if not 2 <= order <= 3:
         raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     h = docs.select(word_hashes(docs[text]).alias("h"))
-    counts = h.mapInArrow(_count_ngrams(order), "level int, h long, s long, n long").groupBy("level", "h", "s").agg(F.sum("n").alias("n"))
-    counts = stored(counts.mapInArrow(_keyed, "level int, key long, h long, s long, n long"), "counts", ["level"])
-    of: dict[int, dict[int, int]] = {}
-    for r in counts.filter(F.col("n") <= TRUSTED + 1).groupBy("level", "n").count().collect():
-        of.setdefault(r["level"], {})[r["n"]] = r["count"]
-    one = counts.filter("level = 1")
-    tokens, ends = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("key") == END, 1))).first()
+    words = stored(h.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    total, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("key") == END, F.col("n"))), F.lit(0))).first()
     # every word but START could come: an unseen one (UNKNOWN, END) is taken as seen half a time
-    mass = tokens + 0.5 + (0 if ends else 0.5)
-    unknown = math.log(0.5 / mass)
-    buckets = parts(tokens, bucket_tokens)
-    logp = F.log(F.col("n") / F.lit(mass))
-    levels, first_bow = [one.select("key", "h", "s", "n", logp.alias("logp"), F.lit(0.0).alias("bow"), logp.alias("delta"))], 0.0
-    start_bow = 0.0
-    start = {2: START, 3: int(joined(*np.full((2, 1), START, dtype=np.uint64)).view(np.int64)[0])}
-    for n in range(2, order + 1):
-        d = discounts(of.get(n, {}))
-        factor = F.element_at(F.array(*[F.lit(x) for x in d]), F.least(F.col("n"), F.lit(TRUSTED)).cast("int"))
-        t = counts.filter(F.col("level") == n).select("key", "n", "h", "s", F.when(F.col("n") <= TRUSTED, factor).otherwise(1.0).alias("d"))
-        t = t.join(levels[-1].select(F.col("key").alias("s"), F.exp("logp").alias("low")), "s")
-        s = t.groupBy("h").agg(F.sum("n").alias("c"), F.sum(F.col("d") * F.col("n")).alias("kept"), F.sum("low").alias("seen"))
-        every = F.col("seen") >= 1 - 1e-9
-        denominator = F.when(every, F.col("kept")).when(F.col("kept") < F.col("c") * (1 - 1e-12), F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
-        s = s.select("h", denominator.alias("c"), F.when(every, 0.0).otherwise(F.log((1 - F.col("kept") / denominator) / (1 - F.col("seen")))).alias("hbow"))
-        s = stored(s, f"histories{n}")
-        up = levels[-1].drop("bow").join(s.select(F.col("h").alias("key"), F.col("hbow").alias("bow")), "key", "left")
-        levels[-1] = up.withColumn("bow", F.coalesce("bow", F.lit(0.0)))
-        weight = (s.filter(F.col("h") == start[n]).select("hbow").first() or [0.0])[0]
-        first_bow, start_bow = (weight, start_bow) if n == 2 else (first_bow, weight)
-        logp = F.log(F.col("d") * F.col("n") / F.col("c"))
-        t = t.join(s, "h").select("key", "h", "s", "n", logp.alias("logp"), F.lit(0.0).alias("bow"), (logp - F.col("hbow") - F.log("low")).alias("delta"))
-        levels.append(t if n == order else stored(t, f"level{n}"))
-    out = levels[0].withColumn("level", F.lit(1))
-    for n, t in enumerate(levels[1:], 2):
-        out = out.unionByName(t.withColumn("level", F.lit(n)))
+    mass = total + 0.5 + (0 if ends else 0.5)
+    buckets, least = parts(total, bucket_tokens), max(2.0, HOT_SHARE * total)
+    top = words.filter((F.col("n") >= least) & (F.col("key") != END)).toPandas().sort_values("key")
+    dropped(words)
+    n = np.r_[0, 0, ends, top["n"].to_numpy(dtype=np.int64)].astype(np.uint64)
+    as_history = n.copy()
+    as_history[[START, END]] = ends, 0
+    ways = np.maximum(1, -(-as_history.astype(np.int64) // max(1, bucket_tokens // 4)))
+    hot = top["key"].to_numpy(dtype=np.int64)
+    pairs = h.mapInArrow(_count_pairs(hot, ways, buckets, order), BLOBS).groupBy("place").applyInArrow(_first_counts(n, ways, buckets), BLOBS)
     path = new_path(spark, "katz")
-    out = out.select("key", "h", "s", "n", "logp", "bow", "delta", "level", _bucket(F.col("key"), buckets).alias("bucket"))
-    out.repartition("level", "bucket").write.partitionBy("level", "bucket").option("compression", "zstd").parquet(path)
-    return Model(spark, path, order, unknown, first_bow, start_bow, tokens, buckets)
+    keep = {"compression": "uncompressed"}  # blobs are compressed themselves
+    pairs.write.options(**keep).partitionBy("kind").parquet(f"{path}/counted")
+    counted = spark.read.schema(BLOBS).parquet(f"{path}/counted")
+    second = counted.filter(F.col("kind") != WIDE).groupBy("place").applyInArrow(_then_stats(least, len(n)), BLOBS)
+    second.write.options(**keep).partitionBy("kind").parquet(f"{path}/second")
+    _moved(spark, f"{path}/counted/kind={WIDE}", f"{path}/level=2/part=hot")
+    _moved(spark, f"{path}/second/kind={WIDE}", f"{path}/level=2/part=cold")
+    _moved(spark, f"{path}/counted", None)
+    if not _exists(spark, f"{path}/level=2"):
+        spark.createDataFrame([], "place int, blob binary").write.parquet(f"{path}/level=2")
+    level2 = spark.read.schema("place int, blob binary").parquet(f"{path}/level=2").select("place", F.lit(WIDE).alias("kind"), "blob")
+    of = {r[0]: r[1] for r in level2.mapInArrow(_counts_of_counts, "r long, n long").groupBy("r").agg(F.sum("n")).collect()}
+    d = discounts(of)
+    stats = spark.read.schema(BLOBS).parquet(f"{path}/second")
+    names = ["h", "c", "seen", *(f"k{r}" for r in range(1, TRUSTED + 1))]
+    head = stats.filter(F.col("kind") == HOT).mapInArrow(_unpack(HOT, names), ", ".join(f"{x} long" for x in names)).groupBy("h").agg(*[F.sum(x).alias(x) for x in names[1:]]).toPandas()
+    c, bow = np.ones(len(n)), np.zeros(len(n))
+    at = head["h"].to_numpy(dtype=np.int64)
+    c[at], bow[at] = weights([head[x].to_numpy() for x in names[1:]], d, mass)
+    known = Known(order, buckets, mass, d, hot, ways, n.astype(np.float64), c, bow)
+    first = stats.filter(F.col("kind") == STATS).mapInArrow(_histories(d, mass), BLOBS)
+    first.write.options(**keep).parquet(f"{path}/level=1")
+    _moved(spark, f"{path}/second", None)
+    model = Model(spark, path, known, total)
+    wide = level2.mapInArrow(_unpack(WIDE, ["h", "s", "n", "ns"], lambda h, s, n, ns: n >= least), "h long, s long, n long, ns long").toPandas().to_numpy(dtype=np.int64).astype(np.uint64)
+    x, y, m, ns = wide.T
+    known.hot[2] = _sorted(joined(x, y), _deltas(known, x, y, m, ns, (np.zeros(0, dtype=np.uint64),) * 4)[1])
+    if order == 3:
+        _third(model, h, d, least)
+    released(spark)
+    return model
+
+
+def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(key, kind="stable")
+    return key[by], value[by]
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _files(spark, path)
+    return fs.exists(p)
+
+
+def _moved(spark: SparkSession, path: str, to: str | None) -> None:
+    """Rename a folder of the model that is complete, or delete it."""
+    p, fs = _files(spark, path)
+    if not fs.exists(p):
+        return
+    if to is None:
+        fs.delete(p, True)
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    fs.rename(p, target)
+
+
+def _count_trigrams(hot: np.ndarray):
+    def run(batches):
+        tally = _Tally()
+
+        def rows():
+            k, h, s, n = tally.compact()
+            tally.rows, tally.fresh = [], 0
+            for lo in range(0, len(k), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000].view(np.int64)) for x in (k, h, s, n)], ["key", "h", "s", "n"])
+
+        for b in batches:
+            words, offsets = padded(*flat(b.column("h")), 3)
+            h, s, _ = ngrams(coded(words, hot), offsets, 3, 3)
+            tally.add(joined(h, s), h, s)
+            if tally.full():
+                yield from rows()
+        if tally.rows:
+            yield from rows()
+
+    return run
+
+
+def _third(model: Model, h: DataFrame, d2: list[float], least: float) -> None:
+    """The third level as tables of rows: trigrams joined with the bigrams that are their suffixes and their histories."""
+    spark, known = model.spark, model.known
+    t = h.mapInArrow(_count_trigrams(known.words), "key long, h long, s long, n long").groupBy("key", "h", "s").agg(F.sum("n").alias("n"))
+    t = stored(t, "trigrams")
+    of = {r["n"]: r["count"] for r in t.filter(F.col("n") <= TRUSTED + 1).groupBy("n").count().collect()}
+    d = discounts(of)
+    factor = F.element_at(F.array(*[F.lit(x) for x in d]), F.least(F.col("n"), F.lit(TRUSTED)).cast("int"))
+    low = model.blobs().groupBy("place").applyInArrow(_rows(known), ROW).filter("level = 2").select(F.col("key").alias("s"), F.exp("logp").alias("low"))
+    j = stored(t.withColumn("d", F.when(F.col("n") <= TRUSTED, factor).otherwise(1.0)).join(low, "s"), "lower")
+    s = j.groupBy("h").agg(F.sum("n").alias("c"), F.sum(F.col("d") * F.col("n")).alias("kept"), F.sum("low").alias("seen"))
+    every = F.col("seen") >= 1 - 1e-9
+    denominator = F.when(every, F.col("kept")).when(F.col("kept") < F.col("c") * (1 - 1e-12), F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
+    s = s.select(F.col("h").alias("key"), denominator.alias("c"), F.when(every, 0.0).otherwise(F.log((1 - F.col("kept") / denominator) / (1 - F.col("seen")))).alias("bow"))
+    s.write.parquet(f"{model.path}/backoff")
+    s = spark.read.schema("key long, c double, bow double").parquet(f"{model.path}/backoff")
+    logp = F.log(F.col("d") * F.col("n") / F.col("c"))
+    j.join(s.withColumnRenamed("key", "h"), "h").select("key", "h", "s", "n", logp.alias("logp"), (logp - F.col("bow") - F.log("low")).alias("delta")).write.parquet(f"{model.path}/level=3")
+    dropped(t, j)
+    start = int(joined(*np.full((2, 1), START, dtype=np.uint64)).view(np.int64)[0])
+    own = s.filter(F.col("key") == start).first()
+    model.start_bow = own["bow"] if own else 0.0
+    three, back = model.third()
+    for kind, table in ((3, three.filter(F.col("n") >= least).select("key", F.col("delta").alias("v"))), (4, back.filter(F.col("c") >= least).select("key", F.col("bow").alias("v")))):
+        pdf = table.toPandas()
+        known.hot[kind] = _sorted(pdf["key"].to_numpy(dtype=np.int64).view(np.uint64), pdf["v"].to_numpy(dtype=float))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -258,42 +652,49 @@ def _unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
     return [_unplanes(raw[i * n : (i + 1) * n], k) for i, k in enumerate(kinds)]
 
 
-def _place(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a key: keys are hashes, so their upper bits do, and keys in order come bucket by bucket."""
-    return (key >> np.uint64(48)).astype(np.int64) * buckets >> 16
+def _key_place(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(key, 33) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+#: Kinds of blobs in scoring, beside the model's: sums of documents; keys and documents of words, bigrams, trigrams and bigrams as
+#: histories; keys and values of the latter two (as many more).
+SUMS, TOKENS, VALUES = 20, 20, 30
 
 
-def _spread(start: float, hot, order, buckets):
-    """Of each batch: sums of what the hot words and n-grams give (kind 0), and the other ones by bucket (kind: their length)."""
+def _spread(start: float, known: Known):
+    """Of each batch: sums of what the hot words and n-grams give, and the others' keys by place."""
+    value = known.logp(known.n) + known.bow
+    levels = range(1, 3) if known.order == 2 else range(1, 5)
 
     def run(batches):
         for b in batches:
-            words, offsets = padded(*flat(b.column("h")), order)
+            words, offsets = padded(*flat(b.column("h")), known.order)
             docs = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(docs):
                 continue
-            rows_out: list[tuple] = []
-            total = np.full(len(docs), start)
-            for n in range(1, order + 1):
-                h, s, row = ngrams(words, offsets, n, order)
-                key = _keys(h, s, n)
-                if n == 1:
+            codes = coded(words, known.words)
+            total, rows = np.full(len(docs), start), []
+            for level in levels:
+                h, s, row = ngrams(codes, offsets, 2 if level == 4 else level, known.order)
+                if level == 1:
                     count = np.bincount(row, minlength=len(docs)).astype(np.float64)
-                hot_key, hot_value = hot[n]
-                if len(hot_key):
-                    at = np.minimum(np.searchsorted(hot_key, key), len(hot_key) - 1)
-                    hit = hot_key[at] == key
-                    total += np.bincount(row[hit], hot_value[at[hit]], minlength=len(docs))
-                    key, row = key[~hit], row[~hit]
-                by = np.argsort(key, kind="stable")
-                key, row = key[by], row[by]
-                ends = np.searchsorted(_place(key, buckets), np.arange(buckets + 1))
-                for p in np.flatnonzero(np.diff(ends)):
-                    k = key[ends[p] : ends[p + 1]]
-                    rows_out.append((int(p), n, _packed(np.diff(k, prepend=np.uint64(0)), docs[row[ends[p] : ends[p + 1]]])))
-            rows_out.append((int(docs[0] % buckets), 0, _packed(docs, total, count)))
-            p, kind, blob = zip(*rows_out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["place", "kind", "blob"])
+                    key, hit = s, s < len(value)
+                    got = value[s[hit]]
+                else:
+                    if level == 4:  # a bigram that ends a text is no history
+                        h, s, row = (x[s != END] for x in (h, s, row))
+                    key = joined(h, s)
+                    keys, values = known.hot[level]
+                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                    hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                    got = values[at[hit]]
+                total += np.bincount(row[hit], got, minlength=len(docs))
+                h, s, key, row = (x[~hit] for x in (h, s, key, row))
+                place = _place(s, s, known.ways, known.buckets) if level == 1 else _place(h, s, known.ways, known.buckets) if level == 2 else _key_place(key, known.buckets)
+                by = np.lexsort((key, place))
+                rows += _blobs(place[by], TOKENS + level, key[by], docs[row[by]].view(np.uint64))
+            rows.append((int(docs[0] % known.buckets), SUMS, _packed(docs, total, count)))
+            yield _batch(rows)
 
     return run
 
@@ -303,42 +704,45 @@ def _sum_docs(docs, total, count):
     return d, np.bincount(at, total, minlength=len(d)), np.bincount(at, count, minlength=len(d))
 
 
-def _lookup(order: int, doc_buckets: int, unknown: float):
-    """Join of one bucket's words and n-grams with the model's rows: their sums by document, split by bucket of documents."""
+def _lookup(known: Known):
+    """Of a place: the documents' sums of what its words and n-grams give, split by bucket of documents."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, blobs = left.column("kind").to_pylist(), left.column("blob")
+    def run(t: pa.Table) -> pa.Table:
+        kinds, blobs = t.column("kind").to_numpy(), t.column("blob")
+        words = _cold_words(t)
+        tables = {1: (words[0], known.logp(words[1]) + words[3])}
+        h, s, _, _, delta = _bigrams(t, known, words)
+        tables[2] = _sorted(joined(h, s), delta)
+        del h, s, delta
+        for level in (3, 4):
+            key, value = _of(t, VALUES + level, 2)
+            tables[level] = _sorted(key, value.view(np.float64))
         docs, total, count = [], [], []
-        tables = {}
-        level, key, value = (right.column(c).to_numpy() for c in ("level", "key", "value"))
-        for n in range(1, order + 1):
-            own = level == n
-            s = np.argsort(key[own].view(np.uint64))
-            tables[n] = key[own].view(np.uint64)[s], value[own][s]
-        for i, kind in enumerate(kinds):
-            blob = blobs[i].as_py()
-            if kind == 0:
-                d, t, c = _unpacked(blob, np.int64, np.float64, np.float64)
+        for i in np.flatnonzero(kinds >= SUMS):
+            level, blob = int(kinds[i]) - TOKENS, blobs[int(i)].as_py()
+            if level == 0:
+                d, v, c = _unpacked(blob, np.int64, np.float64, np.float64)
+            elif level > 4:
+                continue
             else:
-                step, d = _unpacked(blob, np.uint64, np.int64)
-                k = np.cumsum(step, dtype=np.uint64)
-                have, values = tables[kind]
-                absent = unknown if kind == 1 else 0.0
-                t, c = np.full(len(k), absent), np.zeros(len(k))
+                k, d = _opened(blob, np.int64)
+                have, values = tables[level]
+                absent = known.unknown if level == 1 else 0.0
+                v, c = np.full(len(k), absent), np.zeros(len(k))
                 if len(have):
                     at = np.minimum(np.searchsorted(have, k), len(have) - 1)
-                    t = np.where(have[at] == k, values[at], absent)
-                d, t, c = _sum_docs(d, t, c)
-            docs.append(d), total.append(t), count.append(c)
+                    v = np.where(have[at] == k, values[at], absent)
+                d, v, c = _sum_docs(d, v, c)
+            docs.append(d), total.append(v), count.append(c)
         if not docs:
-            return pa.table({"place": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        d, t, c = _sum_docs(np.concatenate(docs), np.concatenate(total), np.concatenate(count))
-        place = (mix(d.view(np.uint64), 78) >> np.uint64(32)).astype(np.int64) % doc_buckets
-        s = np.argsort(place, kind="stable")
-        ends = np.searchsorted(place[s], np.arange(doc_buckets + 1))
-        some = np.flatnonzero(np.diff(ends))
-        out = [_packed(*(x[s[ends[p] : ends[p + 1]]] for x in (d, t, c))) for p in some]
-        return pa.table({"place": pa.array(some.astype(np.int32)), "blob": pa.array(out, pa.binary())})
+            return pa.Table.from_batches([_batch([])])
+        d, v, c = _sum_docs(np.concatenate(docs), np.concatenate(total), np.concatenate(count))
+        place = _key_place(d.view(np.uint64), known.buckets)
+        by = np.argsort(place, kind="stable")
+        place, d, v, c = place[by], d[by], v[by], c[by]
+        cut = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(d)]
+        out = [(int(place[lo]), SUMS, _packed(d[lo:hi], v[lo:hi], c[lo:hi])) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
@@ -352,49 +756,39 @@ def _total(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": d, "n_tokens": n.astype(np.int64), "logprob": total, "perplexity": np.exp(-total / n)})
 
 
-def hot_rows(model: Model, share: float = HOT_SHARE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """level -> sorted keys and values of the n-grams that make up at least share of all: at most 1 / share a level."""
-    pdf = model.rows().filter(F.col("n") >= max(2.0, share * model.total)).select("level", "key", (F.col("delta") + F.col("bow")).alias("value")).toPandas()
-    out = {}
-    for n in range(1, model.order + 1):
-        own = pdf[pdf.level == n]
-        key = own["key"].to_numpy(dtype=np.int64).view(np.uint64)
-        s = np.argsort(key)
-        out[n] = key[s], own["value"].to_numpy(dtype=float)[s]
-    return out
+def _values(kind: int, buckets: int):
+    def run(batches):
+        for b in batches:
+            key, value = b.column("key").to_numpy().view(np.uint64), b.column("v").to_numpy().view(np.uint64)
+            place = _key_place(key, buckets)
+            by = np.lexsort((key, place))
+            yield _batch(list(_blobs(place[by], VALUES + kind, key[by], value[by])))
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens (words and END), logprob (natural), perplexity: each document under the model.
 
     log P(w | h) is logp(hw) if hw is stored, else bow(h) + log P(w | h without its first word), down to the words'
-    own logp. The table holds delta = logp(hw) - bow(h) - log P(w | shorter h), so that a token's recursion is the sum of
-    the words' part, of bow of each history and of delta of each n-gram that is stored, and each part is looked up where
-    its rows are: hot words and n-grams in every task, others in the partition of their bucket.
+    own logp. With delta = logp(hw) - bow(h) - log P(w | shorter h), a token's recursion is the sum of the words' part, of
+    bow of each history and of delta of each n-gram that is stored, and each part is looked up where its rows are: hot
+    words and n-grams in every task, others in the bucket of their history.
 
-    Rows with a null key are left out; rows of one key are one document, their tokens added up. Null and empty texts
-    hold END alone. Very long texts count whole. An empty table gives an empty one. Other columns are not read.
+    Rows with a null key are left out; keys must be whole numbers; rows of one key are one document, their tokens added up.
+    Null and empty texts hold END alone. Very long texts count whole. An empty table gives an empty one. Other columns are
+    not read.
     """
-    d = docs.select(docs[key].cast("long").alias("doc_id"), word_hashes(docs[text]).alias("h")).filter("doc_id is not null")
-    hot = hot_rows(model)
-    least = max(2.0, HOT_SHARE * model.total)
-    spread = d.mapInArrow(_spread(model.first_bow + model.start_bow, hot, model.order, model.buckets), "place int, kind int, blob binary")
-    rows = model.rows().filter(F.col("n") < least).select("level", "key", (F.col("delta") + F.col("bow")).alias("value"))
-    rows = rows.mapInArrow(_places(model.buckets), "place int, level int, key long, value double")
-    found = spread.groupBy("place").cogroup(rows.groupBy("place")).applyInArrow(_lookup(model.order, model.buckets, model.unknown), "place int, blob binary")
+    known = model.known
+    d = docs.select(record_key(docs, key).alias("doc_id"), word_hashes(docs[text]).alias("h")).filter("doc_id is not null")
+    rows = d.mapInArrow(_spread(model.first_bow + model.start_bow, known), BLOBS).unionByName(model.blobs())
+    if model.order == 3:
+        for kind, table in zip((3, 4), (t.select("key", F.col(c).alias("v")) for t, c in zip(model.third(), ("delta", "bow"), strict=True)), strict=True):
+            rows = rows.unionByName(table.mapInArrow(_values(kind, known.buckets), BLOBS))
+    found = rows.groupBy("place").applyInArrow(_lookup(known), BLOBS)
     return found.groupBy("place").applyInArrow(_total, SCORES)
 
 
-def _places(buckets: int):
-    def run(batches):
-        for b in batches:
-            k = b.column("key").to_numpy().view(np.uint64)
-            place = _place(k, buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(place), b.column("level"), b.column("key"), b.column("value")], ["place", "level", "key", "value"])
-
-    return run
-
-
 def perplexities(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Every document under a model trained on all of them."""
     return score(docs, train(docs, text, order), key, text)
