@@ -46,6 +46,29 @@ def test_tree_awkward(awkward, documents):
     assert set(K.document_shards(same, target=10).toPandas().leaf) == {1}
 
 
+def test_strings_are_parted_beyond_a_common_prefix(spark, documents):
+    names = [f"common_crawl_{x}" for x in "abcdefgh"]
+    rows = [(1, "x" * 100, names[i % 8]) for i in range(64)]
+    got = K.document_shards(documents(rows), target=900).toPandas()
+    assert got.leaf.nunique() == 8 and got.leaf_bytes.max() == 800
+    words = [f"w{i:03d}" for i in range(300)] + ["", "é", "w000", None]
+    ranks = {r.value: r.code for r in K.ranks(spark.createDataFrame([(w,) for w in words], "s string")).collect()}
+    assert ranks == {w: float(i) for i, w in enumerate(sorted({w for w in words if w is not None}, key=lambda w: w.encode()))}
+
+
+def test_memory_is_bounded_by_chunks_not_by_terms():
+    """500,000 distinct terms in one batch: what the worker holds beside input and output stays small."""
+    import tracemalloc
+
+    v = np.arange(500_000) * 7919
+    off = np.arange(0, 500_001, 50)
+    tracemalloc.start()
+    s = cws.signatures(v, off, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (s >= 0).all() and peak < 350 << 20
+
+
 def test_collisions_are_generalised_jaccard():
     rng = np.random.default_rng(1)
     vocabulary = rng.integers(-(2**62), 2**62, 500)

@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import EMPTY_HASH, flat, mix, word_hashes
+from .common import EMPTY_HASH, flat, mix, record_key, word_hashes
 
 SAMPLES = 64
-#: Term weights gathered at a time, times samples: bounds the worker's memory whatever a text's length.
-CHUNK = 150_000
+#: Term weights taken at a time, and distinct terms of them whose parameters are held: both bound the worker's memory whatever the batch.
+CHUNK = 300_000
+TERMS = 60_000
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
@@ -47,42 +48,52 @@ def signatures(values: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES)
     new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (v[1:] != v[:-1])])
     weight = np.log(np.diff(np.r_[new, len(v)]).astype(np.float32))
     row, v = row[new], v[new]
-    terms, index = np.unique(v, return_inverse=True)
-    least = np.full((n, samples), np.inf, dtype=np.float32)
-    # parameters depend on the term alone: computed once for all rows of the batch, in runs of terms if there are many
+    # parameters depend on the term alone: rows come in slices of few distinct terms, whose parameters are computed once
+    least, at = np.full((n, samples), np.inf, dtype=np.float32), 0
+    while at < len(v):
+        end = min(len(v), at + CHUNK)
+        terms, index = np.unique(v[at:end], return_inverse=True)
+        for lo in range(0, len(terms), TERMS):
+            own = np.flatnonzero((index >= lo) & (index < lo + TERMS)) if len(terms) > TERMS else np.arange(end - at)
+            _least(terms[lo : lo + TERMS], index[own] - lo, weight[at:end][own], row[at:end][own], out, least)
+        at = end
+    return out
+
+
+def _least(terms: np.ndarray, index: np.ndarray, w: np.ndarray, rows: np.ndarray, out: np.ndarray, least: np.ndarray) -> None:
+    """Enter the samples of some (row, term, log weight) into out, where they lie below least. rows come sorted.
+
+    Equal float values go to the term met first: of one call by hash, of several to the earlier call.
+    """
+    samples = out.shape[1]
     r, c, beta = parameters(terms.view(np.uint64), samples)
-    base = c - r * (1 - beta)  # log a at weight 1, where q = 0
     q_hash = mix(terms.view(np.uint64), 901)
-    for lo in range(0, len(v), CHUNK):
-        hi = min(len(v), lo + CHUNK)
-        i, w, rows = index[lo:hi], weight[lo:hi], row[lo:hi]
-        a = base[i]
-        q = None
-        many = np.flatnonzero(w > 0)
-        if len(many):
-            rm, bm = r[i[many]], beta[i[many]]
-            qm = np.floor(w[many][:, None] / rm + bm)
-            a[many] = c[i[many]] - rm * (qm - bm + 1)
-            q = np.zeros(len(i), dtype=np.int64)
-            q[many] = np.arange(len(many))
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        got = np.minimum.reduceat(a, first, axis=0)
-        owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(rows)]))
-        at, k = np.nonzero(a == got[owner])
-        # ties (equal float values) go to the term met first, in order of hash
-        at, k = at[::-1], k[::-1]
-        level = np.zeros(len(at), dtype=np.int64)
-        if q is not None:
-            heavy = w[at] > 0
-            level[heavy] = qm[q[at[heavy]], k[heavy]].astype(np.int64)
-        code = (mix(q_hash[i[at]] ^ level.astype(np.uint64), 902) >> np.uint64(32)).astype(np.int64)
-        sample = np.empty(got.shape, dtype=np.int64)
-        sample[owner[at], k] = code
-        target = rows[first]
-        better = got < least[target]
-        out[target] = np.where(better, sample, out[target])
-        least[target] = np.where(better, got, least[target])
-    return out
+    a = c - r * (1 - beta)  # log a at weight 1, where q = 0
+    a = a[index]
+    q = None
+    many = np.flatnonzero(w > 0)
+    if len(many):
+        rm, bm = r[index[many]], beta[index[many]]
+        qm = np.floor(w[many][:, None] / rm + bm)
+        a[many] = c[index[many]] - rm * (qm - bm + 1)
+        q = np.zeros(len(index), dtype=np.int64)
+        q[many] = np.arange(len(many))
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    got = np.minimum.reduceat(a, first, axis=0)
+    owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(rows)]))
+    at, k = np.nonzero(a == got[owner])
+    at, k = at[::-1], k[::-1]
+    level = np.zeros(len(at), dtype=np.int64)
+    if q is not None:
+        heavy = w[at] > 0
+        level[heavy] = qm[q[at[heavy]], k[heavy]].astype(np.int64)
+    code = (mix(q_hash[index[at]] ^ level.astype(np.uint64), 902) >> np.uint64(32)).astype(np.int64)
+    sample = np.empty(got.shape, dtype=np.int64)
+    sample[owner[at], k] = code
+    target = rows[first]
+    better = got < least[target]
+    out[target] = np.where(better, sample, out[target])
+    least[target] = np.where(better, got, least[target])
 
 
 def _sign(samples: int):
@@ -106,7 +117,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     No shuffle. Texts without a word (null, empty) get -1 throughout; null keys stay null; rows alike get signatures
     alike; very long texts count whole; an empty table gives an empty one. Other columns are not read.
     """
-    d = docs.select(docs[key].cast("long").alias("doc_id"), word_hashes(docs[text]).alias("h"))
+    d = docs.select(record_key(docs, key).alias("doc_id"), word_hashes(docs[text]).alias("h"))
     return d.mapInArrow(_sign(samples), "doc_id long, n_terms long, signature array<long>")
 
 

@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import BROADCAST_BYTES, bounded, dropped, record_key, stored
 
 TARGET_BYTES = 64 << 20
 BINS = 4096
 DEEPEST = 60
-#: Most nodes of a level whose table is sent to all executors; beyond it the join is by shuffle.
-BROADCAST_NODES = 200_000
+#: Of a node's row in the table that goes to all executors while it is small enough.
+NODE_BYTES = 64
 
 
-def string_code(c: Column) -> Column:
-    """A number that orders strings by their first six bytes; null stays null."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def ranks(strings: DataFrame) -> DataFrame:
+    """value, code: the distinct non-null strings of a table of one column, numbered from 0 in their order.
+
+    They are dealt by ranges and numbered within each; only the ranges' sizes come to the driver.
+    """
+    s = strings.toDF("value").filter("value is not null").distinct().repartitionByRange("value").sortWithinPartitions("value")
+    s = stored(s.withColumn("at", F.monotonically_increasing_id()), "ranks")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r[0], r[1]) for r in s.groupBy(part.alias("part")).count().collect())
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    table = s.sparkSession.createDataFrame(starts, "part long, start long")
+    return s.withColumn("part", part).join(bounded(table, 16), "part").select("value", (F.col("start") + within).cast("double").alias("code"))
 
 
 def _with_nodes(points: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    return points.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "node")
+    return points.join(F.broadcast(nodes) if n * NODE_BYTES <= BROADCAST_BYTES else nodes, "node")
 
 
 def _weighted_medians(x: DataFrame, half: DataFrame, n: int) -> DataFrame:
@@ -88,6 +100,13 @@ def sharded(rows: DataFrame, key: str, dimensions: dict[str, Column], weight: Co
 
 
 def document_shards(docs: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
-    """sharded() for documents: length, source, language and number are the dimensions, bytes of text the weight."""
-    dims = {"n_chars": F.log1p(F.greatest(docs["n_chars"], F.lit(0))), "source": string_code(docs["source"]), "lang": string_code(docs["lang"]), "doc_id": docs["doc_id"]}
-    return sharded(docs, "doc_id", dims, F.octet_length(docs["text"]), target).withColumnRenamed("id", "doc_id")
+    """sharded() for documents: length, source, language and number are the dimensions, bytes of text the weight.
+
+    Sources and languages count by their rank among the table's own, so any two are different points.
+    """
+    d = docs.select(record_key(docs, "doc_id").alias("doc_id"), F.log1p(F.greatest(docs["n_chars"], F.lit(0))).alias("length"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.octet_length(docs["text"]).alias("size"))
+    for c in ("source", "lang"):
+        codes = stored(ranks(d.select(c)), "codes")
+        d = d.join(bounded(codes.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), 64), c, "left")
+    dims = {"n_chars": d["length"], "source": d["source_code"], "lang": d["lang_code"], "doc_id": d["doc_id"]}
+    return sharded(d, "doc_id", dims, d["size"], target).withColumnRenamed("id", "doc_id")
