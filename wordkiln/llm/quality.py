@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 STOP_WORDS = (
     "the of and to in a is that it for on was be as with by this are or an from at have not "
     "de la le les des et en que un une du dans pour qui sur au par est pas avec "
@@ -70,16 +72,16 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def compiled(rules=RULES) -> Column:
-    """array<string> of the names of broken rules, over columns that bear the measures' names."""
+def compiled(rules=RULES, m: str = "_m") -> Column:
+    """array<string> of the names of broken rules, over the struct of measures in column m."""
     broken = []
     for r in rules:
-        x, out = F.col(f"_m.{r.measure}"), F.lit(False)
+        x, out = F.col(f"{m}.{r.measure}"), F.lit(False)
         if r.low is not None:
             out = out | (x < r.low)
         if r.high is not None:
             out = out | (x > r.high)
-        broken.append(F.when(out & (F.col("_m.n_words") >= r.min_words), F.lit(r.name)))
+        broken.append(F.when(out & (F.col(f"{m}.n_words") >= r.min_words), F.lit(r.name)))
     return F.array_compact(F.array(*broken))
 
 
@@ -101,8 +103,16 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES
 
 
 def accepted(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The documents that break no rule, with their columns as they were."""
-    return assess(docs, text, rules).filter(F.size("_broken") == 0).select(*[docs[c] for c in docs.columns])
+    """The documents that break no rule, with their columns as they were, whatever their names.
+
+    Null and empty texts break `too_short` and go; very long texts are measured whole; rows alike stay or go alike; nulls
+    in other columns don't matter; an empty table gives an empty one.
+    """
+    m, broken, row = (free_name(docs.columns, x) for x in ("_m", "_broken", "_row"))
+    measured = docs.select("*", F.struct(*[c.alias(k) for k, c in measures(docs[text]).items()]).alias(m), F.monotonically_increasing_id().alias(row))
+    # a filter isn't pushed below a row number, so the measures are computed once, not once in each rule
+    kept = measured.withColumn(broken, compiled(rules, m)).filter((F.size(broken) == 0) & (F.col(row) >= 0))
+    return kept.drop(m, broken, row)
 
 
 def sql(source: str = "documents", rules=RULES, keep_only: bool = False) -> str:
