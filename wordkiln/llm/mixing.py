@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, free_name, stored
+
 #: Entropy of the weights, as a part of that of equal weights, that the exponent is to reach.
 ENTROPY = 0.97
 #: No source may be passed over more often than this.
@@ -75,40 +77,64 @@ def plan(sizes: DataFrame, budget: float | None = None, target: float = ENTROPY,
     return [(s, t, w, round(w * budget)) for (s, t), w in zip(rows, weights, strict=True)], x
 
 
-def mixed(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, repeats: float = REPEATS, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """_copy, _epoch, _block, _tokens and all columns of docs: each row once for each time it is passed over.
+def planned(docs: DataFrame, budget: float | None = None, target: float = ENTROPY, repeats: float = REPEATS, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """h0, h1 (which rows: hash of key, source and text), key, source, rows (so many are alike), n_tokens (of each), epoch,
+    block, block_rank, place, progress: when these rows are passed over, one row for each time.
 
-    A source's documents fall by hash into blocks of about block_tokens. Each pass over a source takes its blocks in an
-    order of its own until the source's quota (weight * budget tokens) is spent: whole blocks, then of the last block
-    the documents, by hash, that still fit from the first on. No source falls short by more than a document, and blocks
-    keep every sort and running total small whatever a source's size.
+    A source's documents fall by hash into blocks of about block_tokens. Each pass over a source (epoch) takes its blocks
+    in an order of its own (block_rank) until the source's quota (weight * budget tokens) is spent: whole blocks, then of
+    the last block the documents, by hash (place), that still fit from the first on. No source falls short by more than
+    a document, and blocks keep every sort and running total small whatever a source's size. progress is the part of its
+    source's quota that is spent before: all rows by progress are sources mixed at their weights throughout.
 
-    A null source is a source. Null and blank texts hold no tokens and come with every whole pass of their block. Rows
-    alike are passed over alike. An empty table gives an empty one. budget: tokens; those of docs if None.
+    Texts are read and counted once; what follows is done on hashes and counts. A null source is a source. Null and blank
+    texts hold no tokens and come with every whole pass of their block. Rows of one key, source and text are passed over
+    together, as one document. An empty table gives an empty one. budget: tokens; those of docs if None.
     """
     spark = docs.sparkSession
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source].alias("source"), docs[key].alias("key"), token_count(docs[text]).alias("tokens"))
-    base = base.withColumn("source_key", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")))
-    sizes = base.groupBy(F.col("source_key").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    units = docs.select(*_hashes(docs, key, text, source), docs[key].alias("key"), docs[source].alias("source"), token_count(docs[text]).alias("n_tokens"))
+    units = units.groupBy("h0", "h1").agg(F.first("key").alias("key"), F.first("source").alias("source"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("rows"))
+    units = stored(units.withColumn("source_key", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))), "units")
+    sizes = units.groupBy(F.col("source_key").alias("source")).agg(F.sum(F.col("n_tokens") * F.col("rows")).alias("tokens"))
     rows, _ = plan(sizes, budget, target, repeats)
-    if not rows:
-        return docs.select(F.lit(0).alias("_copy"), F.lit(0).alias("_epoch"), F.lit(0).alias("_block"), F.lit(0).cast("long").alias("_tokens"), *docs.columns).limit(0)
     table = spark.createDataFrame([(s, int(t), int(q), max(1, -(-t // block_tokens))) for s, t, _, q in rows], "source_key string, total long, quota long, blocks long")
-    base = base.join(F.broadcast(table), "source_key")
+    base = units.join(bounded(table, 100), "source_key")
     h = F.conv(F.substring(_order(F.lit(seed), F.col("key")), 1, 8), 16, 10).cast("long")
-    base = base.withColumn("block", (h % F.col("blocks")).cast("int"))
-    blocks = base.groupBy("source_key", "block", "total", "quota").agg(F.sum("tokens").alias("size"))
+    base = base.withColumn("block", (h % F.col("blocks")).cast("int")).withColumn("own", F.col("n_tokens") * F.col("rows"))
+    blocks = base.groupBy("source_key", "block", "total", "quota").agg(F.sum("own").alias("size"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(0).cast("int"))))
-    w = Window.partitionBy("source_key", "epoch").orderBy(_order(F.lit(seed), F.col("source_key"), F.col("epoch"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("quota") - F.col("epoch") * F.col("total") - F.coalesce(F.sum("size").over(w), F.lit(0))
-    blocks = blocks.withColumn("left", left).filter("left > 0 or (total = 0 and epoch = 0)")
-    # a block is whole in the passes before the last and cut in at most one: how often whole, and what is left then
-    cut = F.when(F.col("left") < F.col("size"), F.struct("epoch", "left"))
-    blocks = blocks.groupBy("source_key", "block").agg(F.collect_list(F.when(F.col("left") >= F.col("size"), F.col("epoch"))).alias("whole"), F.max(cut).alias("cut"))
-    doc = base.join(blocks, ["source_key", "block"])
-    inside = Window.partitionBy("source_key", "block").orderBy(_order(F.lit(seed + 1), F.col("key")), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = doc.select("row", "tokens", "block", "whole", "cut", F.sum("tokens").over(inside).alias("upto"))
-    epochs = F.concat("whole", F.when(F.col("upto") <= F.col("cut.left"), F.array("cut.epoch")).otherwise(F.array().cast("array<int>")))
-    epochs = F.when(F.col("cut").isNull(), F.col("whole")).otherwise(epochs)
-    out = before.select("row", "tokens", "block", F.posexplode(epochs).alias("copy", "epoch"))
-    return out.select(F.col("copy").alias("_copy"), F.col("epoch").alias("_epoch"), F.col("block").alias("_block"), F.col("tokens").alias("_tokens"), "row.*")
+    turn = Window.partitionBy("source_key", "epoch").orderBy(_order(F.lit(seed), F.col("source_key"), F.col("epoch"), F.col("block")), "block")
+    spent = F.col("epoch") * F.col("total") + F.coalesce(F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("spent", spent).withColumn("block_rank", F.row_number().over(turn) - 1)
+    blocks = blocks.filter("quota > spent or (total = 0 and epoch = 0)")
+    # a block is whole in the passes before the last and cut in at most one
+    passes = F.sort_array(F.collect_list(F.struct("epoch", "block_rank", "spent")))
+    blocks = blocks.groupBy("source_key", "block", "quota").agg(passes.alias("passes"))
+    inside = Window.partitionBy("source_key", "block").orderBy(_order(F.lit(seed + 1), F.col("key")), "key", "h0", "h1")
+    placed = base.drop("quota").withColumn("before", F.coalesce(F.sum("own").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(inside) - 1)
+    out = placed.join(blocks, ["source_key", "block"]).withColumn("pass", F.explode("passes"))
+    at = F.col("pass.spent") + F.col("before")
+    out = out.filter((at + F.col("own") <= F.col("quota")))
+    progress = F.when(F.col("quota") > 0, at / F.col("quota")).otherwise(0.0)
+    return out.select("h0", "h1", "key", "source", "rows", "n_tokens", F.col("pass.epoch").alias("epoch"), "block", F.col("pass.block_rank").alias("block_rank"), "place", progress.alias("progress"))
+
+
+def _hashes(docs: DataFrame, key: str, text: str, source: str) -> list[Column]:
+    c = [docs[x] for x in (key, source, text)]
+    return [F.xxhash64(*c).alias("h0"), F.xxhash64(F.lit(1), *c).alias("h1")]
+
+
+def order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The order of training, without texts: source, epoch, block, block_rank, place, progress, key, n_tokens; as planned()."""
+    out = planned(docs, key=key, text=text, source=source, **options)
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return out.select("source", "epoch", "block", "block_rank", "place", "progress", F.col("key").alias(key), "n_tokens")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """_epoch, _tokens, _progress (with more underscores where docs has such a column) and all columns of docs: each row once for each time it is passed over, as planned()."""
+    when = planned(docs, key=key, text=text, source=source, **options)
+    mine = [free_name(docs.columns, x) for x in ("_h0", "_h1", "_epoch", "_tokens", "_progress")]
+    when = when.select(*[F.col(c).alias(x) for c, x in zip(("h0", "h1", "epoch", "n_tokens", "progress"), mine, strict=True)])
+    hashes = [c.alias(x) for c, x in zip(_hashes(docs, key, text, source), mine[:2], strict=True)]
+    return docs.select("*", *hashes).join(when, mine[:2]).select(*mine[2:], *[F.col(f"`{c}`") for c in docs.columns])

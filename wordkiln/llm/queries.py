@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import chaining, cws, katz, kdtree, mixing, neardup, packing, quality, template, warc
 from .common import new_path, table
@@ -37,8 +36,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of training: which document is passed over when; texts stay where they are."""
-    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), "doc_id", F.col("_tokens").alias("n_tokens"))
+    return mixing.order(table(spark, sf_dir, "documents"))
 
 
 def op8_kdtree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
