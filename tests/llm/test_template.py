@@ -66,3 +66,17 @@ def test_awkward(spark):
     assert T.rendered(t.limit(0)).count() == 0
     bad = T.rendered(t, "{% if messages|length > 3 %}{{ raise_exception('long') }}{% endif %}x")
     assert {r.conv_id: (r.text, r.error) for r in bad.collect()} == {1: (None, "long"), 2: ("x", None), 3: ("x", None)}
+
+
+def test_any_error_is_its_rows(spark):
+    t = spark.createDataFrame([(1, 1, "user", "3"), (2, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    for source in ("{{ 4|first }}x", "{{ messages[0].content|join('-') }}"):
+        assert all(r.error is None for r in T.rendered(t, source).collect())
+    got = {r.conv_id: (r.text, r.error) for r in T.rendered(t, "{% if messages[0].content %}{{ 1 - messages[0].content }}{% endif %}x").collect()}
+    assert got[1][0] is None and got[1][1] and got[2] == ("x", None)
+
+
+@pytest.mark.parametrize("source", ["{{ x|replace('a') }}", "{{ x|trim(1) }}", "{{ raise_exception() }}", "{{ raise_exception('a', 'b') }}"])
+def test_wrong_numbers_of_arguments_fail_when_parsed(source):
+    with pytest.raises(T.TemplateError):
+        T.parse(source)

@@ -95,3 +95,52 @@ def test_awkward(spark):
     got = sorted((tuple(r) for r in W.round_trip(d, new_path(spark, "warc-awkward")).collect()), key=repr)
     assert got == sorted([(None, None, ""), (1, "u v", ""), (1, "u v", ""), (2, None, "long " * 100_000), (3, "x", rows[4][2])], key=repr)
     assert W.round_trip(spark.createDataFrame([], PAGES), new_path(spark, "warc-empty")).count() == 0
+
+
+def _response(body: bytes, length=None) -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + str(len(body) if length is None else length).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _member(record: bytes, told: int) -> bytes:
+    """A gzip member whose extra field tells a length, right or wrong."""
+    import zlib
+
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(record) + z.flush()
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + (8).to_bytes(2, "little") + b"sl" + (4).to_bytes(2, "little") + told.to_bytes(4, "little") + body + zlib.crc32(record).to_bytes(4, "little") + len(record).to_bytes(4, "little")
+
+
+@pytest.mark.parametrize("length", ["-80", "-1", "x", "9999", "+3", ""])
+def test_broken_lengths_are_passed_over(tmp_path, length):
+    raw = _response(b"one") + _response(b"two", length) + _response(b"three")
+    p = tmp_path / "x.warc"
+    p.write_bytes(raw)
+    with open(p, "rb") as f:
+        got = list(W.records(f, len(raw), False, [], True, permissive=True))
+        assert [g[2] for g in got] == [b"one", None, b"three"] and got[1][3] and got[1][1] == {}
+        assert [g[2] for g in W.records(f, len(raw), False, [W.EqualTo(("warc_type",), "response")], True, permissive=True)] == [b"one", b"three"]
+        with pytest.raises(ValueError):
+            list(W.records(f, len(raw), False, [], True))
+
+
+@pytest.mark.parametrize("told", [0, 3])
+def test_a_members_length_too_short_isnt_believed(tmp_path, told):
+    raw = _member(_response(b"one"), told) + _member(_response(b"two"), told)
+    p = tmp_path / "x.warc.gz"
+    p.write_bytes(raw)
+    with open(p, "rb") as f:
+        assert [g[2] for g in W.records(f, len(raw), True, [], True)] == [b"one", b"two"]
+
+
+def test_cut_and_damaged_files(spark, tmp_path):
+    good = [gzip.compress(_response(b"HTTP/1.1 200 OK\r\n\r\n" + x)) for x in (b"one", b"caf\xe9", "caf\u00e9".encode())]
+    (tmp_path / "a.warc.gz").write_bytes(good[0] + b"\x1f\x8b\x08 damaged" + good[1])
+    (tmp_path / "b.warc.gz").write_bytes(good[2] + good[0][:-12])
+    (tmp_path / "c.warc").write_bytes(_response(b"four") + _response(b"five")[:-6])
+    read = W.registered(spark).read.format("warc")
+    rows = read.load(f"file://{tmp_path}").select(W.http_body(W.F.col("payload")).alias("t"), "error").collect()
+    assert sorted(r.t for r in rows if r.error is None) == ["caf\u00e9", "caf\u00e9", "four", "one"]
+    assert sum(r.error is not None and r.t is None for r in rows) == 3
+    assert W.responses(spark, f"file://{tmp_path}").count() == 4
+    with pytest.raises(Exception, match="ends early|no record|incorrect|error"):
+        read.option("mode", "failfast").load(f"file://{tmp_path}").collect()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import record_key
+
 CHATML = (
     "{% for m in messages %}{{ '<|im_start|>' + m.role + '\n' }}{% if m.role == 'assistant' %}{% generation %}{{ m.content }}{{ '<|im_end|>' }}"
     "{% endgeneration %}{% else %}{{ m.content + '<|im_end|>' }}{% endif %}{{ '\n' }}{% endfor %}"
@@ -56,12 +58,14 @@ FILTERS: dict[str, Callable] = {
     "upper": lambda x: _text(x).upper(),
     "lower": lambda x: _text(x).lower(),
     "length": lambda x: len(x) if isinstance(x, (str, list, dict)) else 0,
-    "first": lambda x: x[0] if x else UNDEFINED,
-    "last": lambda x: x[-1] if x else UNDEFINED,
+    "first": lambda x: x[0] if isinstance(x, (str, list)) and x else UNDEFINED,
+    "last": lambda x: x[-1] if isinstance(x, (str, list)) and x else UNDEFINED,
     "default": lambda x, d="": d if isinstance(x, Undefined) or x is None else x,
     "join": lambda x, by="": _text(by).join(_text(y) for y in x) if isinstance(x, list) else _text(x),
     "replace": lambda x, a, b: _text(x).replace(_text(a), _text(b)) if _text(a) else _text(x),
 }
+#: Least and most arguments of each filter beside the value.
+ARGUMENTS = {"default": (0, 1), "join": (0, 1), "replace": (2, 2)}
 TESTS: dict[str, Callable] = {
     "defined": lambda x: not isinstance(x, Undefined),
     "none": lambda x: x is None,
@@ -184,7 +188,11 @@ class _Expression:
             f = self.name()
             if f not in FILTERS:
                 raise TemplateError(f"no filter {f!r}")
-            left = Node("filter", (f, left, tuple(self.arguments()) if self.take("(") else ()))
+            given = tuple(self.arguments()) if self.take("(") else ()
+            least, most = ARGUMENTS.get(f, (0, 0))
+            if not least <= len(given) <= most:
+                raise TemplateError(f"filter {f!r} takes {least} to {most} arguments, not {len(given)}")
+            left = Node("filter", (f, left, given))
         return left
 
     def arguments(self) -> list[Node]:
@@ -220,7 +228,10 @@ class _Expression:
                 return Node("value", (None,))
             if value == "raise_exception":
                 self.need("(")
-                return Node("raise", (self.arguments()[0],))
+                given = self.arguments()
+                if len(given) != 1:
+                    raise TemplateError("raise_exception takes one argument")
+                return Node("raise", (given[0],))
             return Node("name", (value,))
         if value == "(":
             inner = self.whole()
@@ -336,16 +347,23 @@ def _item(a: Any, k: Any) -> Any:
 
 
 def fold(node: Node) -> Node:
-    """The tree with constant expressions computed, choices on constants made, and neighbouring texts joined."""
+    """The tree with constant expressions computed, choices on constants made, and neighbouring texts joined.
+
+    What fails on its constants is left as it is, to raise where, and if, it is reached.
+    """
+    try:
+        return _fold(node)
+    except (TemplateError, TypeError, ValueError, ArithmeticError, AttributeError):
+        return node
+
+
+def _fold(node: Node) -> Node:
     constant = lambda *n: all(x.kind == "value" for x in n)
     k, a = node.kind, node.args
     if k == "binary":
         left, right = fold(a[1]), fold(a[2])
         if constant(left, right):
-            try:
-                return Node("value", (_binary(a[0], left.args[0], right.args[0]),))
-            except TemplateError:  # left to raise where, and if, it is reached
-                pass
+            return Node("value", (_binary(a[0], left.args[0], right.args[0]),))
         return Node(k, (a[0], left, right))
     if k in ("and", "or"):
         left, right = fold(a[0]), fold(a[1])
@@ -530,8 +548,8 @@ def _render(source: str, names: dict):
                 try:
                     t, s = render({**names, "messages": [{"role": m["role"], "content": m["content"]} for m in ms]})
                     texts.append(t), spans.append(s), errors.append(None)
-                except TemplateError as e:
-                    texts.append(None), spans.append([]), errors.append(str(e))
+                except Exception as e:  # whatever evaluating this conversation raises is its row's error, not the job's
+                    texts.append(None), spans.append([]), errors.append(str(e) if isinstance(e, TemplateError) else f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays(
                 [b.column("conv_id"), b.column("n_turns"), pa.array(texts, pa.string()), pa.array([sum(z - a for a, z in s) for s in spans], pa.int64()), pa.array([",".join(f"{a}-{z}" for a, z in s) for s in spans], pa.string()), pa.array(errors, pa.string())],
                 [f.split()[0] for f in RENDERED.split(", ")],
@@ -542,14 +560,14 @@ def _render(source: str, names: dict):
 
 def rendered(turns: DataFrame, source: str = CHATML, names: dict | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a conversation: conv_id, n_turns, text, n_generated (characters), generated (spans "start-end" in characters,
-    by commas), error (text is null then: the template raised on this conversation; the others are unharmed).
+    by commas), error (text is null then: evaluating the template failed on this conversation; the others are unharmed).
 
     Turns are ordered by turn, then role and text, so ties come out alike on every run; a null turn comes first.
     Repeated rows are repeated turns. Null roles and texts print as nothing. Rows with a null conv_id are left out.
     Very long texts are rendered whole. An empty table gives an empty one. Other columns are not read.
     """
     parse(source)  # fails here rather than on executors
-    t = turns.select(turns[conv].cast("long").alias("conv_id"), turns[turn].alias("turn"), turns[role].cast("string").alias("role"), turns[text].alias("content")).filter("conv_id is not null")
+    t = turns.select(record_key(turns, conv).alias("conv_id"), turns[turn].alias("turn"), turns[role].cast("string").alias("role"), turns[text].alias("content")).filter("conv_id is not null")
     t = t.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     return t.mapInArrow(_render(source, names or {}), RENDERED)
 

@@ -33,12 +33,16 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-SCHEMA = "warc_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, file string, offset long, payload binary"
+SCHEMA = "warc_type string, record_id string, target_uri string, date string, content_type string, content_length long, headers map<string,string>, file string, offset long, payload binary, error string"
 #: Columns that come from a header line, by its name in lower case.
 FROM_HEADER = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "content_length": "content-length"}
 TARGET_BYTES = 64 << 20
 FILE_BYTES = 128 << 20
 HEAD = 16 << 10
+#: Bytes of gzip's header and trailer around an empty body: no member is shorter.
+LEAST_MEMBER = 20
+#: Bytes of headers beyond which a record is taken as broken.
+MOST_HEADERS = 16 << 20
 BATCH_BYTES = 8 << 20
 _SUFFIX = re.compile(r"\.warc(\.gz)?$")
 
@@ -89,9 +93,15 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 def field(headers: dict[str, str], column: str):
     value = headers.get(FROM_HEADER[column])
-    if column == "content_length":
-        return int(value or 0)
-    return value
+    return body_length(headers) if column == "content_length" and value is not None else value
+
+
+def body_length(headers: dict[str, str]) -> int:
+    """Content-Length, 0 if it is missing; anything but digits is no length."""
+    value = headers.get("content-length", "0")
+    if not (value.isascii() and value.isdigit()):
+        raise ValueError(f"{value[:40]!r} is no Content-Length")
+    return int(value)
 
 
 def accepts(f: Filter, headers: dict[str, str]) -> bool:
@@ -138,60 +148,111 @@ def _skip_length(head: bytes) -> int | None:
     while at + 4 <= len(extra):
         size = int.from_bytes(extra[at + 2 : at + 4], "little")
         if extra[at : at + 2] == b"sl" and size >= 4:
-            return int.from_bytes(extra[at + 4 : at + 8], "little")
+            told = int.from_bytes(extra[at + 4 : at + 8], "little")
+            return told if told >= LEAST_MEMBER else None
         at += 4 + size
     return None
 
 
-def records(f, size: int, compressed: bool, filters: list[Filter], with_payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
-    """(offset, headers, payload) of the records that pass. Of the others no more than the headers is decoded."""
-    at = 0
-    while at < size:
-        f.seek(at)
-        raw = f.read(HEAD)
-        if compressed:
-            member = _skip_length(raw)
-            d = zlib.decompressobj(31)
-            head, fed = d.decompress(raw, HEAD), len(raw)
-            while b"\r\n\r\n" not in head and not d.eof:
-                more = d.unconsumed_tail or f.read(HEAD)
+def _record(f, at: int, size: int, compressed: bool, filters: list[Filter], with_payload: bool) -> tuple[int, dict[str, str] | None, bytes | None]:
+    """Where the next record begins, and headers and payload of this one (None: it isn't wanted). ValueError: it is broken."""
+    f.seek(at)
+    raw = f.read(HEAD)
+    if compressed:
+        member = _skip_length(raw)
+        d = zlib.decompressobj(31)
+        head, fed = d.decompress(raw, HEAD), len(raw)
+        while b"\r\n\r\n" not in head and not d.eof and len(head) <= MOST_HEADERS:
+            more = d.unconsumed_tail or f.read(HEAD)
+            if not more:
+                raise ValueError(f"the record at {at} ends early")
+            fed += 0 if d.unconsumed_tail else len(more)
+            head += d.decompress(more, HEAD)
+    else:
+        head = raw
+        while b"\r\n\r\n" not in head and len(head) <= MOST_HEADERS and (more := f.read(HEAD)):
+            head += more
+    end = head.find(b"\r\n\r\n")
+    if end < 0:
+        if not head.strip():
+            return size, None, None
+        if not head.startswith(b"WARC/"):
+            parse_headers(head)
+        raise ValueError(f"the record at {at} has no end of headers")
+    headers = parse_headers(head[:end])
+    length = body_length(headers)
+    wanted = all(accepts(x, headers) for x in filters)
+    payload = None
+    if compressed:
+        if wanted and with_payload or member is None:
+            body, have = [head[end + 4 :]], len(head) - end - 4
+            while not d.eof:
+                more = d.unconsumed_tail or f.read(1 << 20)
                 if not more:
                     raise ValueError(f"the record at {at} ends early")
                 fed += 0 if d.unconsumed_tail else len(more)
-                head += d.decompress(more, HEAD)
-        else:
-            head = raw
-            while b"\r\n\r\n" not in head and (more := f.read(HEAD)):
-                head += more
-        end = head.find(b"\r\n\r\n")
-        if end < 0:
-            if not head.strip():
-                return
-            raise ValueError(f"the record at {at} has no end of headers")
-        headers = parse_headers(head[:end])
-        length = int(headers.get("content-length", 0))
-        wanted = all(accepts(x, headers) for x in filters)
-        payload = None
-        if compressed:
-            if wanted and with_payload or member is None:
-                body = [head[end + 4 :]]
-                while not d.eof:
-                    more = d.unconsumed_tail or f.read(1 << 20)
-                    if not more:
-                        raise ValueError(f"the record at {at} ends early")
-                    fed += 0 if d.unconsumed_tail else len(more)
-                    piece = d.decompress(more, 1 << 22)
-                    if wanted and with_payload:
-                        body.append(piece)
-                payload = b"".join(body)[:length] if wanted and with_payload else None
-            following = at + (member if member is not None else fed - len(d.unused_data))
-        else:
-            following = at + end + 4 + length + 4
-            if wanted and with_payload:
-                f.seek(at + end + 4)
-                payload = f.read(length)
-        if wanted:
-            yield at, headers, payload
+                piece = d.decompress(more, 1 << 22)
+                have += len(piece)
+                if wanted and with_payload:
+                    body.append(piece)
+            if have < length:
+                raise ValueError(f"the record at {at} ends early")
+            payload = b"".join(body)[:length] if wanted and with_payload else None
+        following = at + (member if member is not None else fed - len(d.unused_data))
+    else:
+        following = at + end + 4 + length + 4
+        if at + end + 4 + length > size:
+            raise ValueError(f"the record at {at} ends early")
+        if wanted and with_payload:
+            f.seek(at + end + 4)
+            payload = f.read(length)
+    if following <= at:
+        raise ValueError(f"the record at {at} has no length")
+    return following, headers if wanted else None, payload
+
+
+def _next_start(f, at: int, size: int, compressed: bool) -> int:
+    """The first place from at where a record seems to begin; size if there is none. Read in pieces that overlap."""
+    mark, step = (b"\x1f\x8b\x08" if compressed else b"WARC/"), 1 << 20
+    while at < size:
+        f.seek(at)
+        piece = f.read(step)
+        place = piece.find(mark)
+        while place >= 0:
+            if not compressed:
+                return at + place
+            f.seek(at + place)
+            try:
+                if zlib.decompressobj(31).decompress(f.read(HEAD), 5) == b"WARC/":
+                    return at + place
+            except zlib.error:
+                pass
+            place = piece.find(mark, place + 1)
+        if len(piece) < step:
+            break
+        at += step - len(mark) + 1
+    return size
+
+
+def records(f, size: int, compressed: bool, filters: list[Filter], with_payload: bool, permissive: bool = False) -> Iterator[tuple[int, dict[str, str], bytes | None, str | None]]:
+    """(offset, headers, payload, error) of the records that pass. Of the others no more than the headers is decoded.
+
+    A broken record raises ValueError or, if permissive, comes without headers and payload but with an error, unless there
+    are filters, which it can't pass; reading goes on where the next record begins.
+    """
+    at = 0
+    while at < size:
+        try:
+            following, headers, payload = _record(f, at, size, compressed, filters, with_payload)
+        except (ValueError, zlib.error) as e:
+            if not permissive:
+                raise ValueError(str(e)) from e
+            if not filters:
+                yield at, {}, None, str(e)
+            at = _next_start(f, at + 1, size, compressed)
+            continue
+        if headers is not None:
+            yield at, headers, payload, None
         at = following
 
 
@@ -200,6 +261,7 @@ class WarcReader(DataSourceReader):
         self.path = path
         self.target = int(options.get("targetBytes", TARGET_BYTES))
         self.with_payload = str(options.get("payload", "true")).lower() != "false"
+        self.permissive = str(options.get("mode", "permissive")).lower() != "failfast"
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters):
@@ -217,12 +279,12 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition):
         system, _ = _system(self.path)
-        schema = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("file", pa.string()), ("offset", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("file", pa.string()), ("offset", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         rows, held = [], 0
         for path, size in partition.files:
             with system.open_input_file(path) as f:
-                for at, h, payload in records(f, size, path.endswith(".gz"), self.filters, self.with_payload):
-                    rows.append((*(field(h, c) for c in FROM_HEADER), list(h.items()), path, at, payload))
+                for at, h, payload, error in records(f, size, path.endswith(".gz"), self.filters, self.with_payload, self.permissive):
+                    rows.append((*(field(h, c) for c in FROM_HEADER), list(h.items()), path, at, payload, error))
                     held += len(payload or b"") + 512
                     if held > BATCH_BYTES:
                         yield _record_batch(rows, schema)
@@ -311,9 +373,11 @@ class WarcWriter(DataSourceArrowWriter):
 class WarcSource(DataSource):
     """spark.read.format("warc").load(path): one row a record, columns as in SCHEMA; header names in lower case.
 
-    Options: payload=false leaves payloads unread and null, targetBytes is a task's share of files. Filters on warc_type,
+    Options: payload=false leaves payloads unread and null, targetBytes is a task's share of files, mode=failfast makes a
+    broken record (cut short, without headers or with a wrong length) fail the read; else it is a row with an error and no
+    headers, and reading goes on at the next record. A length in gzip's extra field that is too short is not believed. Filters on warc_type,
     record_id, target_uri, date, content_type and content_length are checked on the headers when
-    spark.sql.python.filterPushdown.enabled is on; others are left to Spark.
+    spark.sql.python.filterPushdown.enabled is on; others, and those on the map of headers, are left to Spark.
     write takes those columns (any subset), with compression (gzip or none) and fileBytes.
     """
 
@@ -355,19 +419,20 @@ def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def http_body(payload: Column) -> Column:
-    """The text after an HTTP message's headers."""
-    s = F.decode(payload, "utf-8")
-    return F.when(F.instr(s, "\r\n\r\n") > 0, F.substring(s, F.instr(s, "\r\n\r\n") + 4, F.length(s))).otherwise(s)
+    """The text after an HTTP message's headers: UTF-8 if it is that, else read as ISO-8859-1, which takes any bytes."""
+    end = F.instr(F.decode(payload, "ISO-8859-1"), "\r\n\r\n")
+    body = F.when(end > 0, F.substring(payload, end + 4, F.octet_length(payload))).otherwise(payload)
+    return F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")).otherwise(F.decode(body, "ISO-8859-1"))
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, html of the response records of WARC files written from page_records().
 
     Request records are passed over by their headers. Missing headers are null. Repeated pages are repeated records;
-    very long pages are read whole; a folder without files gives an empty table.
+    very long pages are read whole; a folder without files gives an empty table. Broken records, and page numbers that are none (null), stop nothing.
     """
     r = registered(spark).read.format("warc").load(path).filter("warc_type = 'response'")
-    return r.select(F.col("headers")["x-page-id"].cast("long").alias("page_id"), F.col("target_uri").alias("url"), http_body(F.col("payload")).alias("html"))
+    return r.select(F.col("headers")["x-page-id"].try_cast("long").alias("page_id"), F.col("target_uri").alias("url"), http_body(F.col("payload")).alias("html"))
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
