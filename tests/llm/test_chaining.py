@@ -129,3 +129,45 @@ def test_awkward(awkward, documents):
     assert (r.doc_id, r.ref_doc_id, r.start_word, r.end_word) == (7, 6, 0, 40_000)
     assert C.without_passages(awkward).count() == awkward.count() - 1
     assert C.passages(documents([])).count() == 0
+
+
+def test_hot_seeds_lose_no_link(spark, documents, monkeypatch):
+    """A passage that a third of all documents hold, spread over tasks: the same runs are found as without hot seeds."""
+    rng = random.Random(6)
+    p = _words(rng, 60)
+    rows = [(i, " ".join(_words(rng, 40) + (p if i % 3 == 0 else []) + _words(rng, 40))) for i in range(300)]
+    d = documents(rows).repartition(3)
+    runs = lambda: {(r.doc_id, r.start_word, r.end_word) for r in C.passages(d).collect()}
+    coded = d.select("doc_id", C.word_codes(d["text"]).alias("w")).withColumnRenamed("doc_id", "id")
+    hot = C.hot_seeds(coded, 1e-3, 8).collect()
+    assert hot and all(r.hid % 3 == 0 for r in hot)
+    monkeypatch.setattr(C, "hot_seeds", lambda coded, share, real=C.hot_seeds: real(coded, 1e-3))
+    found = runs()
+    monkeypatch.setattr(C, "hot_seeds", lambda coded, share, real=C.hot_seeds: coded.select(C.F.lit(0).cast("long").alias("h"), C.F.lit(0).cast("long").alias("hid"), C.F.lit(0).alias("hpos")).limit(0))
+    assert found == runs() == {(i, 40, 100) for i in range(3, 300, 3)}
+    monkeypatch.setattr(C, "CHAINS_A_TASK", 7)
+    assert found == runs()
+
+
+def test_joins_without_broadcast(documents, monkeypatch):
+    """Tables too large for a broadcast are joined by shuffle, with the same result."""
+    from wordkiln.llm import common
+
+    rng = random.Random(9)
+    p, a = _words(rng, 60), _words(rng, 30)
+    d = documents([(1, " ".join(p)), (2, " ".join(a + p)), (3, " ".join(p + a)), (4, " ".join(a))])
+    want = sorted(map(str, C.without_passages(d).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    d.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.without_passages(d)
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == want
+    finally:
+        d.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clashing_names(awkward):
+    d = awkward.selectExpr("*", "1 as _text", "2 as _spans", "3 as _id", "4 as h", "5 as `a.b`")
+    out = C.without_passages(d)
+    assert out.columns == d.columns and out.count() == awkward.count() - 1

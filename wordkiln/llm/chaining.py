@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, mix, stored
+from .common import bounded, flat, free_name, mix, record_key, runs, stored
 
 K = 4
 #: Of every WINDOW k-mers in a row at least the least by hash is a seed, in whatever document they stand.
@@ -20,7 +20,12 @@ MAX_GAP = 24
 GAP_COST = 0.2
 REACH = 24
 IDENTITY = 0.7
-BROADCAST_ROWS = 1_000_000
+#: A seed that makes up this share of all (so at most 100,000 do) is hot; a batch that holds it is known by FREQUENT of them.
+HOT_SHARE = 1e-5
+FREQUENT = 8
+SPREAD = 1024
+#: Chains of one document, its own and those others have with it, that are joined with its words in one task.
+CHAINS_A_TASK = 10_000
 _PUNCTUATION = ".,!?;:()[]\"'«»—–-…|*"
 _SPACE = r"(?U)\s+"
 
@@ -64,23 +69,65 @@ def seeds_of(values: np.ndarray, offsets: np.ndarray, k: int = K, window: int =
     return row[at], at - offsets[row[at]], h[at]
 
 
+def _seeds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, offsets = flat(b.column("w"))
+    return seeds_of(np.ascontiguousarray(values), offsets)
+
+
 def _emit_seeds(batches):
     for b in batches:
-        values, offsets = flat(b.column("w"))
-        row, pos, h = seeds_of(np.ascontiguousarray(values), offsets)
+        row, pos, h = _seeds(b)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(pa.array(row)), pa.array(pos.astype(np.int32))], ["h", "id", "pos"])
 
 
-def links(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, pos, ref, rpos: each seed's first occurrence in an earlier document.
+def _frequent(least: int):
+    """Of each batch the seeds it holds at least `least` times, with their first occurrence in it and their number; and all seeds' number (h null)."""
+
+    def run(batches):
+        for b in batches:
+            row, pos, h = _seeds(b)
+            u, count = np.unique(h, return_counts=True)
+            u = u[count >= least]
+            at = np.flatnonzero(np.isin(h, u))
+            ids = b.column("id").to_numpy()[row[at]]
+            s = np.lexsort((pos[at], ids, h[at]))
+            first = s[np.flatnonzero(np.r_[True, h[at][s][1:] != h[at][s][:-1]])] if len(s) else s
+            cols = [pa.array([*h[at][first].view(np.int64).tolist(), None], pa.int64()), pa.array([*ids[first].tolist(), None], pa.int64()), pa.array([*pos[at][first].tolist(), None], pa.int32()), pa.array([*count[count >= least].tolist(), len(h)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "hid", "hpos", "n"])
+
+    return run
+
+
+def hot_seeds(coded: DataFrame, share: float = HOT_SHARE, least: int = FREQUENT) -> DataFrame:
+    """h, hid, hpos: seeds of at least that share of all, with an occurrence that but few others come before.
+
+    Counted are the batches that hold a seed `least` times; so a seed of this share is found unless it is spread thin, and
+    then no task is too large for it. At most 1 / share rows.
+    """
+    t = coded.mapInArrow(_frequent(least), "h long, hid long, hpos int, n long")
+    t = stored(t.groupBy("h").agg(F.min(F.struct("hid", "hpos")).alias("first"), F.sum("n").alias("n")), "frequent")
+    total = t.filter("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return t.filter(F.col("h").isNotNull() & (F.col("n") >= max(share * total, least))).select("h", "first.hid", "first.hpos")
+
+
+def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> DataFrame:
+    """id, pos, ref, rpos: for each seed an early occurrence in an earlier document, the first but for hot seeds.
 
     One link an occurrence, so a passage of thousands of documents costs as many links, not their square. It loses
     nothing: every seed of a passage that was there before has such a link, and what is found is a run of words covered.
+    Occurrences of a hot seed beyond the one hot_seeds() gives link to that and are spread over tasks; the few before it are
+    linked as those of other seeds.
     """
-    s = docs.select(docs[key].cast("long").alias("id"), word_codes(docs[text]).alias("w")).filter("id is not null")
-    s = s.mapInArrow(_emit_seeds, "h long, id long, pos int")
-    w = Window.partitionBy("h").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select("id", "pos", F.first("id").over(w).alias("ref"), F.first("pos").over(w).alias("rpos"))
+    coded = docs.select(record_key(docs, key).alias("id"), word_codes(docs[text]).alias("w")).filter("id is not null")
+    s = coded.mapInArrow(_emit_seeds, "h long, id long, pos int")
+    hot = hot_seeds(coded, share)
+    if hot.limit(1).count():
+        s = s.join(bounded(hot, 40), "h", "left").withColumn("far", F.coalesce(F.col("id") > F.col("hid"), F.lit(False)))
+        s = s.withColumn("part", F.when(F.col("far"), 1 + F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0))
+    else:
+        s = s.select("*", F.lit(0).alias("part"), F.lit(False).alias("far"), F.lit(0).cast("long").alias("hid"), F.lit(0).alias("hpos"))
+    w = Window.partitionBy("h", "part").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.select("id", "pos", F.when(F.col("far"), F.col("hid")).otherwise(F.first("id").over(w)).alias("ref"), F.when(F.col("far"), F.col("hpos")).otherwise(F.first("pos").over(w)).alias("rpos"))
     return s.filter("ref <> id")
 
 
@@ -142,32 +189,12 @@ def chains_of(start, end, rstart, rend, cost: float = GAP_COST) -> list[list[int
     return out
 
 
-def _grouped(batches, key: str):
-    """Batches of whole runs of key, which comes sorted."""
-    held = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column(key).to_numpy()
-        cut = int(np.searchsorted(ids, ids[-1], side="left"))
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
-            held = [b.slice(cut)]
-        elif held and held[-1].column(key)[0].as_py() != ids[0]:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = [b]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 CHAINS = "id long, ref long, start int, end int, rstart int, rend int, anchors array<int>"
 
 
 def _chain(min_words: int):
     def run(batches):
-        for t in _grouped(batches, "id"):
+        for t in runs(batches, "id"):
             ids, ref, pos, rpos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "ref", "pos", "rpos"))
             order = np.lexsort((ref, ids))
             ids, ref, pos, rpos = ids[order], ref[order], pos[order], rpos[order]
@@ -244,7 +271,7 @@ PASSAGES = "doc_id long, start_word int, end_word int, n_words int, ref_doc_id l
 
 def _align(min_words: int, identity: float):
     def run(batches):
-        for t in _grouped(batches, "id"):
+        for t in runs(batches, "id"):
             cols = {c: t.column(c).to_numpy() for c in ("id", "ref", "side", "from", "start")}
             values, offsets = flat(t.column("w"))
             anchors, aoff = flat(t.column("anchors"))
@@ -301,11 +328,12 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     ours = F.struct(F.col("id").alias("doc"), F.lit(0).alias("side"), F.col("start").alias("a"), F.col("end").alias("z"), "anchors")
     theirs = F.struct(F.col("ref").alias("doc"), F.lit(1).alias("side"), F.col("rstart").alias("a"), F.col("rend").alias("z"), F.array().cast("array<int>").alias("anchors"))
     sides = found.select("id", "ref", "start", "chain", F.explode(F.array(ours, theirs)).alias("x")).select("id", "ref", "start", "chain", "x.*")
-    named = sides.select("doc").distinct()
-    if found.count() <= BROADCAST_ROWS:
-        named, sides = F.broadcast(named), F.broadcast(sides)
-    d = docs.select(docs[key].cast("long").alias("doc"), docs[text].alias("t")).join(named, "doc", "left_semi").select("doc", word_codes(F.col("t")).alias("w")).dropDuplicates(["doc"])
-    cut = d.join(sides, "doc").withColumn("from", F.greatest(F.col("a") - REACH, F.lit(0)))
+    # a document that others often repeat is joined with their chains in parts
+    named = stored(sides.groupBy("doc").agg(F.ceil(F.count("*") / CHAINS_A_TASK).cast("int").alias("tasks")), "named")
+    d = docs.select(record_key(docs, key).alias("doc"), docs[text].alias("t")).join(bounded(named, 40), "doc").select("doc", "tasks", word_codes(F.col("t")).alias("w")).dropDuplicates(["doc"])
+    d = d.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    sides = sides.join(bounded(named.filter("tasks > 1"), 40), "doc", "left").withColumn("task", F.coalesce(F.pmod("chain", "tasks"), F.lit(0)).cast("int"))
+    cut = d.join(sides, ["doc", "task"]).withColumn("from", F.greatest(F.col("a") - REACH, F.lit(0)))
     cut = cut.select("id", "ref", "start", "chain", "side", "from", F.slice("w", F.col("from") + 1, F.col("z") + REACH - F.col("from")).alias("w"), "anchors")
     return cut.repartition("id").sortWithinPartitions("id", "start", "chain", "side").mapInArrow(_align(min_words, identity), PASSAGES)
 
@@ -313,19 +341,24 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
 def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages cut out of later documents; one of which nothing is left goes. length is set anew.
 
-    White space goes with the word before it. Rows with a null key, and documents without such a passage, are unchanged.
+    White space goes with the word before it. Rows with a null key, null and blank texts, and documents without such a
+    passage, are unchanged. Rows of one key are cut alike, each by what passages() found in one of them. Very long texts
+    are read whole. An empty table gives an empty one. Other columns stay as they are, whatever their names.
     """
-    spans = passages(docs, key, text, min_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    joined = docs.join(spans, docs[key] == spans["_id"], "left")
-    pieces = F.filter(F.regexp_extract_all(docs[text], F.lit(r"(?U)\s*\S+\s*"), F.lit(0)), lambda w, i: ~F.exists("_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
-    new = F.when(F.col("_spans").isNull(), docs[text]).otherwise(F.array_join(pieces, ""))
-    out = joined.withColumn("_text", new).filter(F.col("_spans").isNull() | (F.trim("_text") != ""))
+    mine, cuts, new = (free_name(docs.columns, x) for x in ("_id", "_spans", "_text"))
+    spans = passages(docs, key, text, min_words).groupBy(F.col("doc_id").alias(mine)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cuts))
+    spans = stored(spans, "spans")
+    joined = docs.select("*", record_key(docs, key).alias(free_name([*docs.columns, mine], "_key")))
+    own = joined.columns[-1]
+    joined = joined.join(bounded(spans, 160), F.col(own) == F.col(mine), "left")
+    pieces = F.filter(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?U)\s*\S+\s*"), F.lit(0)), lambda w, i: ~F.exists(cuts, lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
+    out = joined.withColumn(new, F.when(F.col(cuts).isNotNull(), F.array_join(pieces, ""))).filter(F.col(cuts).isNull() | (F.trim(new) != ""))
     cols = []
     for c in docs.columns:
+        old = F.col(f"`{c}`")
         if c == text:
-            cols.append(F.col("_text").alias(c))
+            old = F.when(F.col(cuts).isNull(), old).otherwise(F.col(new)).alias(c)
         elif c == length:
-            cols.append(F.when(F.col("_spans").isNull(), docs[c]).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c))
-        else:
-            cols.append(docs[c])
+            old = F.when(F.col(cuts).isNull(), old).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c)
+        cols.append(old)
     return out.select(*cols)
