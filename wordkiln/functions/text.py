@@ -88,19 +88,22 @@ def _word_map(words: dict[str, str | None]) -> Column:
 
 
 def replace_words(c: Column, words: dict[str, str | None], chars: str = R.PEELED) -> tuple[Column, Column]:
-    """The text with words replaced inside their punctuation, deleted with it if the value is None; and how many."""
-    table = _word_map(words)
+    """The text with words replaced inside their punctuation, deleted with it if the value is None; and how many.
 
-    found = lambda t: F.try_element_at(table, F.lower(core(t, chars)))
+    A token is looked for in a hash set; only those in it are taken apart and looked up in the map, which is searched in line.
+    """
+    words = {w: r for w, r in words.items() if w}
+    table = _word_map(words)
+    known = lambda t: F.lower(core(t, chars)).isin(*words) if words else F.lit(False)
 
     def one(t: Column) -> Column:
         p = peel(t, chars)
-        return F.when(found(t) == _GONE, F.lit(_GONE)).otherwise(F.concat(p["prefix"], found(t), p["suffix"]))
+        whole = lambda r: F.when(r == _GONE, r).otherwise(F.concat(p["prefix"], r, p["suffix"]))
+        return let(F.try_element_at(table, F.lower(p["core"])), whole)
 
-    # punctuation is taken apart for the few tokens that are in the table
-    done = F.transform(tokens(c), lambda t: F.when(found(t).isNull(), t).otherwise(one(t)))
+    done = F.transform(tokens(c), lambda t: F.when(known(t), one(t)).otherwise(t))
     text = F.array_join(F.filter(done, lambda t: t != _GONE), " ")
-    return text, F.size(F.filter(tokens(c), lambda t: found(t).isNotNull()))
+    return text, F.size(F.filter(tokens(c), known))
 
 
 def apply_patterns(c: Column, patterns) -> tuple[Column, Column]:
@@ -174,12 +177,16 @@ def mixed_script(c: Column) -> Column:
     return has_cyrillic(c) & has_latin(c)
 
 
-def translate_tokens(ts: Column, table: Column, chars: str = R.PEELED) -> Column:
-    """Tokens by a map(lower-case word -> English); words it lacks are transliterated if Cyrillic, else kept."""
+def translate_tokens(ts: Column, table: Column, chars: str = R.PEELED, words: list[str] | None = None) -> Column:
+    """Tokens by a map(lower-case word -> English); words it lacks are transliterated if Cyrillic, else kept.
+
+    words: the map's, if they are known; a token that is none of them isn't looked up.
+    """
 
     def one(t: Column) -> Column:
         p = peel(t, chars)
         to = F.try_element_at(table, F.lower(p["core"]))
+        to = to if words is None else F.when(F.lower(p["core"]).isin(*words), to) if words else F.lit(None).cast("string")
         return (
             F.when(p["core"] == "", t)
             .when(F.coalesce(to, F.lit("")) != "", F.concat(p["prefix"], to, p["suffix"]))
@@ -196,7 +203,7 @@ def translate(c: Column, lexicon: list[tuple[str, str | None]]) -> Column:
     phrases = sorted((x for x in live if len(x[0].split()) in (2, 3)), key=lambda x: (-len(x[0].split()), -len(x[0])))
     text = reduce(lambda x, p: F.regexp_replace(x, F.lit(word_pattern(p[0])), F.lit(replacement(p[1]))), phrases, c)
     table = _word_map({w: e for w, e in live})
-    return F.when(blank(c), c).otherwise(strip(F.array_join(translate_tokens(tokens(text), table), " ")))
+    return F.when(blank(c), c).otherwise(strip(F.array_join(translate_tokens(tokens(text), table, words=[w for w, _ in live if w]), " ")))
 
 
 def reverse_translate(c: Column, dictionary: dict[str, str]) -> Column:

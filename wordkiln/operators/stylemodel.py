@@ -29,20 +29,33 @@ class StyleModel:
     @classmethod
     def train(cls, df: DataFrame, text: str = "text", label: str = "label", features: int = FEATURES, regularisation: float = 1e-3) -> StyleModel:
         """On all rows of df."""
-        words = "filter(split(lower(__t), '[^\\\\p{L}\\\\p{N}_]+'), w -> length(w) > 1)"
-        grams = f"SELECT *, concat({words}, transform(sequence(1, greatest(size({words}) - 1, 1)), i -> concat_ws(' ', slice({words}, i, 2)))) AS __g FROM __THIS__"
+        # tokens are a column of their own, so each pair is made of two of them and no text is split again
+        words = "SELECT *, filter(split(lower(__t), '[^\\\\p{L}\\\\p{N}_]+'), w -> length(w) > 1) AS __w FROM __THIS__"
+        pairs = "zip_with(slice(__w, 1, greatest(size(__w) - 1, 0)), slice(__w, 2, greatest(size(__w) - 1, 0)), (a, b) -> concat(a, ' ', b))"
+        grams = f"SELECT *, concat(__w, {pairs}) AS __g FROM __THIS__"
         names = StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip").fit(df)
         stages = [
             SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS __t FROM __THIS__"),
+            SQLTransformer(statement=words),
             SQLTransformer(statement=grams),
             CountVectorizer(inputCol="__g", outputCol="__c", vocabSize=features),
             IDF(inputCol="__c", outputCol="__i"),
             Normalizer(inputCol="__i", outputCol="__x"),
         ]
-        body = Pipeline(stages=stages).fit(df)
-        ready = names.transform(body.transform(df))
+        split = Pipeline(stages=stages[:3]).fit(df)
+        held = split.transform(df).persist()
+        try:
+            counted = Pipeline(stages=stages[3:]).fit(held)
+            ready = names.transform(counted.transform(held)).select("__x", "__y").persist()
+            return cls(cls._fitted(split, counted, ready, names.labels, regularisation))
+        finally:
+            held.unpersist()
+
+    @staticmethod
+    def _fitted(split: PipelineModel, counted: PipelineModel, ready: DataFrame, labels: list[str], regularisation: float) -> PipelineModel:
         regression = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", predictionCol="__k", rawPredictionCol="__r", family="multinomial", regParam=regularisation, maxIter=100).fit(ready)
-        return cls(PipelineModel([*body.stages, regression, IndexToString(inputCol="__k", outputCol="style", labels=names.labels)]))
+        ready.unpersist()
+        return PipelineModel([*split.stages, *counted.stages, regression, IndexToString(inputCol="__k", outputCol="style", labels=labels)])
 
     def _run(self, df: DataFrame) -> DataFrame:
         if self.model is None:

@@ -23,8 +23,11 @@ def build(df: DataFrame, least: int = 2, key: str = "doc_id", text: str = "text"
 
 def ranked(df: DataFrame, order: list[Column], start: int = 0, out: str = "id") -> DataFrame:
     """df with its rows numbered in order, without a task that holds them all: rows are sorted by ranges, and each range's
-    number of rows, known to the driver, shifts the places in it."""
-    s = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    number of rows, known to the driver, shifts the places in it. The sorted rows are checkpointed where the session names
+    a folder for that, so nothing is left in executors and a lost one costs nothing; else they are kept in the cache: sorting
+    twice could part them differently."""
+    s = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    s = s.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else s.persist()
     sizes = sorted((r[0], r[1]) for r in s.groupBy(F.shiftright("_at", 33).alias("p")).count().collect())
     offsets, total = {}, start
     for p, n in sizes:

@@ -45,7 +45,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents")
+    return files.spread(_table(spark, d, "documents"))
 
 
 def _inline(spark: SparkSession, rows: list[str]) -> DataFrame:

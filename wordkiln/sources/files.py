@@ -42,6 +42,17 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\r?\n"), X.strip), lambda p: p != "")
 
 
+#: Bytes a core should have of a table, by Catalyst's estimate, before its rows are left where their files put them.
+CORE_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: the few row groups of its files would keep most of them idle. A large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < cores * CORE_BYTES else df
+
+
 def read_txt(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Paragraphs of each file."""
     if encoding.lower().replace("-", "") == "utf8":
