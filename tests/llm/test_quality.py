@@ -33,7 +33,7 @@ def test_awkward(awkward, documents):
     clash = awkward.selectExpr("*", "1 as _m", "2 as n_words", "3 as _broken")
     assert Q.accepted(clash).columns == clash.columns
     assert {r.doc_id for r in Q.accepted(clash).collect()} >= {4, 5}
-    assert sorted(map(str, Q.accepted(clash).collect())) == sorted(map(str, (r for r in clash.collect() if r.doc_id in (4, 5) or r.text and "number" in r.text or r.doc_id in (6, 7))))
+    assert sorted(map(str, Q.accepted(clash).collect())) == sorted(map(str, (r for r in clash.collect() if r.doc_id in (4, 5) or r.text and "number" in r.text)))
 
 
 def test_accepted_measures_once(spark, data):

@@ -28,11 +28,23 @@ BITS = 21
 UNKNOWN, START, END = 0, 1, 2
 #: Code of the first hot word.
 FIRST = 3
-COMPACT = 2_000_000
+COMPACT = 1_500_000
+#: Tokens of a batch that are taken at a time: with COMPACT this bounds a worker's memory whatever the texts.
+PIECE = 500_000
 #: Bigrams of one stored blob.
 ROWS = 1_000_000
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a batch of hashed words and their values and offsets, about PIECE words at a time; a row is never parted."""
+    values, offsets = flat(b.column("h"))
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        yield slice(at, end), values[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end
+
+
 def padded(values: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's words between order - 1 START and one END, and the new offsets."""
     keep = values != EMPTY_HASH
@@ -145,12 +157,12 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000].view(np.int64)) for x in (keys, n)], ["key", "n"])
 
     for b in batches:
-        words = flat(b.column("h"))[0].view(np.uint64)
-        words = words[words != np.uint64(EMPTY_HASH.view(np.uint64))]
         ends += b.num_rows
-        tally.add(words, words, words)
-        if tally.full():
-            yield from rows()
+        for _, values, _ in _pieces(b):
+            words = values[values != EMPTY_HASH].view(np.uint64)
+            tally.add(words, words, words)
+            if tally.full():
+                yield from rows()
     if ends:
         yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["key", "n"])
     if tally.rows:
@@ -181,11 +193,12 @@ def _count_pairs(hot: np.ndarray, ways: np.ndarray, buckets: int, order: int):
                     yield _batch([r])
 
         for b in batches:
-            words, offsets = padded(*flat(b.column("h")), order)
-            h, s, _ = ngrams(coded(words, hot), offsets, 2, order)
-            tally.add(joined(h, s), h, s)
-            if tally.full():
-                yield from rows()
+            for _, values, offsets in _pieces(b):
+                words, offsets = padded(values, offsets, order)
+                h, s, _ = ngrams(coded(words, hot), offsets, 2, order)
+                tally.add(joined(h, s), h, s)
+                if tally.full():
+                    yield from rows()
         if tally.rows:
             yield from rows()
 
@@ -594,11 +607,12 @@ def _count_trigrams(hot: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 200_000].view(np.int64)) for x in (k, h, s, n)], ["key", "h", "s", "n"])
 
         for b in batches:
-            words, offsets = padded(*flat(b.column("h")), 3)
-            h, s, _ = ngrams(coded(words, hot), offsets, 3, 3)
-            tally.add(joined(h, s), h, s)
-            if tally.full():
-                yield from rows()
+            for _, values, offsets in _pieces(b):
+                words, offsets = padded(values, offsets, 3)
+                h, s, _ = ngrams(coded(words, hot), offsets, 3, 3)
+                tally.add(joined(h, s), h, s)
+                if tally.full():
+                    yield from rows()
         if tally.rows:
             yield from rows()
 
@@ -668,33 +682,35 @@ def _spread(start: float, known: Known):
 
     def run(batches):
         for b in batches:
-            words, offsets = padded(*flat(b.column("h")), known.order)
-            docs = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(docs):
-                continue
-            codes = coded(words, known.words)
-            total, rows = np.full(len(docs), start), []
-            for level in levels:
-                h, s, row = ngrams(codes, offsets, 2 if level == 4 else level, known.order)
-                if level == 1:
-                    count = np.bincount(row, minlength=len(docs)).astype(np.float64)
-                    key, hit = s, s < len(value)
-                    got = value[s[hit]]
-                else:
-                    if level == 4:  # a bigram that ends a text is no history
-                        h, s, row = (x[s != END] for x in (h, s, row))
-                    key = joined(h, s)
-                    keys, values = known.hot[level]
-                    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                    hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                    got = values[at[hit]]
-                total += np.bincount(row[hit], got, minlength=len(docs))
-                h, s, key, row = (x[~hit] for x in (h, s, key, row))
-                place = _place(s, s, known.ways, known.buckets) if level == 1 else _place(h, s, known.ways, known.buckets) if level == 2 else _key_place(key, known.buckets)
-                by = np.lexsort((key, place))
-                rows += _blobs(place[by], TOKENS + level, key[by], docs[row[by]].view(np.uint64))
-            rows.append((int(docs[0] % known.buckets), SUMS, _packed(docs, total, count)))
-            yield _batch(rows)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for own, values, offsets in _pieces(b):
+                yield _batch(piece(ids[own], values, offsets))
+
+    def piece(docs, values, offsets):
+        words, offsets = padded(values, offsets, known.order)
+        codes = coded(words, known.words)
+        total, rows = np.full(len(docs), start), []
+        for level in levels:
+            h, s, row = ngrams(codes, offsets, 2 if level == 4 else level, known.order)
+            if level == 1:
+                count = np.bincount(row, minlength=len(docs)).astype(np.float64)
+                key, hit = s, s < len(value)
+                got = value[s[hit]]
+            else:
+                if level == 4:  # a bigram that ends a text is no history
+                    h, s, row = (x[s != END] for x in (h, s, row))
+                key = joined(h, s)
+                keys, values = known.hot[level]
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                got = values[at[hit]]
+            total += np.bincount(row[hit], got, minlength=len(docs))
+            h, s, key, row = (x[~hit] for x in (h, s, key, row))
+            place = _place(s, s, known.ways, known.buckets) if level == 1 else _place(h, s, known.ways, known.buckets) if level == 2 else _key_place(key, known.buckets)
+            by = np.lexsort((key, place))
+            rows += _blobs(place[by], TOKENS + level, key[by], docs[row[by]].view(np.uint64))
+        rows.append((int(docs[0] % known.buckets), SUMS, _packed(docs, total, count)))
+        return rows
 
     return run
 
