@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, free_name, mix, record_key, runs, stored
+from .common import bounded, flat, free_name, mix, record_key, released, runs, stored
 
 K = 4
 #: Of every WINDOW k-mers in a row at least the least by hash is a seed, in whatever document they stand.
@@ -35,9 +35,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
 
 
+def _plain(word: Column) -> Column:
+    return F.lower(F.btrim(word, F.lit(_PUNCTUATION)))
+
+
 def word_codes(text: Column) -> Column:
     """array<long>, one a word: hash of it in lower case without punctuation at its edges."""
-    return F.transform(words(text), lambda w: F.xxhash64(F.lower(F.btrim(w, F.lit(_PUNCTUATION)))))
+    return F.transform(words(text), lambda w: F.xxhash64(_plain(w)))
+
+
+def short_codes(text: Column) -> Column:
+    """array<int>, as word_codes(): enough to compare the words of two documents with each other."""
+    return F.transform(words(text), lambda w: F.hash(_plain(w)))
 
 
 def seeds_of(values: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,7 +312,10 @@ def _align(min_words: int, identity: float):
                 c[1::4] -= fa
                 c[2::4] -= fb
                 c[3::4] -= fb
-                s, e, rs, re, m = align(values[offsets[i] : offsets[i + 1]], values[offsets[i + 1] : offsets[i + 2]], c.tolist())
+                a, b = values[offsets[i] : offsets[i + 1]], values[offsets[i + 1] : offsets[i + 2]]
+                if len(a) < c[-3] or len(b) < c[-1]:
+                    continue  # rows of one key with other texts
+                s, e, rs, re, m = align(a, b, c.tolist())
                 like = m / max(e - s, re - rs, 1)
                 if like >= identity:
                     spans.append((int(cols["id"][i]), s + fa, e + fa, int(cols["ref"][i]), rs + fb, re + fb, round(like, 6)))
@@ -329,10 +341,14 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     theirs = F.struct(F.col("ref").alias("doc"), F.lit(1).alias("side"), F.col("rstart").alias("a"), F.col("rend").alias("z"), F.array().cast("array<int>").alias("anchors"))
     sides = found.select("id", "ref", "start", "chain", F.explode(F.array(ours, theirs)).alias("x")).select("id", "ref", "start", "chain", "x.*")
     # a document that others often repeat is joined with their chains in parts
-    named = stored(sides.groupBy("doc").agg(F.ceil(F.count("*") / CHAINS_A_TASK).cast("int").alias("tasks")), "named")
-    d = docs.select(record_key(docs, key).alias("doc"), docs[text].alias("t")).join(bounded(named, 40), "doc").select("doc", "tasks", word_codes(F.col("t")).alias("w")).dropDuplicates(["doc"])
-    d = d.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    sides = sides.join(bounded(named.filter("tasks > 1"), 40), "doc", "left").withColumn("task", F.coalesce(F.pmod("chain", "tasks"), F.lit(0)).cast("int"))
+    often = sides.groupBy("doc").agg(F.ceil(F.count("*") / CHAINS_A_TASK).cast("int").alias("tasks")).filter("tasks > 1")
+    often = bounded(stored(often, "often"), 40)
+    d = docs.select(record_key(docs, key).alias("doc"), short_codes(docs[text]).alias("w")).filter("doc is not null")
+    if docs.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).limit(1).count():
+        d = d.groupBy("doc").agg(F.max("w").alias("w"))
+    released(docs.sparkSession)
+    d = d.join(often, "doc", "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    sides = sides.join(often, "doc", "left").withColumn("task", F.coalesce(F.pmod("chain", "tasks"), F.lit(0)).cast("int")).drop("tasks")
     cut = d.join(sides, ["doc", "task"]).withColumn("from", F.greatest(F.col("a") - REACH, F.lit(0)))
     cut = cut.select("id", "ref", "start", "chain", "side", "from", F.slice("w", F.col("from") + 1, F.col("z") + REACH - F.col("from")).alias("w"), "anchors")
     return cut.repartition("id").sortWithinPartitions("id", "start", "chain", "side").mapInArrow(_align(min_words, identity), PASSAGES)

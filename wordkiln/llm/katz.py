@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import EMPTY_HASH, dropped, flat, mix, new_path, parts, record_key, stored, word_hashes
+from .common import EMPTY_HASH, dropped, flat, mix, new_path, parts, record_key, released, stored, word_hashes
 
 ORDER = 2
 #: Words and n-grams of at least this share of all go to every executor (at most 1,000,000 of each): the rest are so rare that none is a hot key.
@@ -498,12 +497,6 @@ def _rows(known: Known):
     return run
 
 
-def released(spark: SparkSession) -> None:
-    """Ask the driver to collect its garbage: the cleaner then deletes the shuffle files of what nobody can read any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, bucket_tokens: int = BUCKET_TOKENS) -> Model:
     """Counts over the whole texts of all rows, up to order words; order is at most 3.
 
