@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from . import resources as R
 from .operators import providers, retrieval, tokens, vectors
+from .operators.classify import classify
 from .sources import files
 from .sources.store import TextIndex
 
@@ -52,9 +54,11 @@ def parser() -> argparse.ArgumentParser:
     c = add("squeeze", "normalise and compress texts")
     c.add_argument("--target", choices=["cloud"], help="also translate")
     c.add_argument("--output", help="folder of text lines")
-    add("nibble", "count words before and after")
+    c = add("nibble", "count words, or a tokenizer's tokens, before and after")
+    c.add_argument("--ranks", action="append", default=[], metavar="NAME=FILE", help="byte-pair ranks to count by; may be given again")
     c = add("sniff", "classify texts by category names or examples")
     c.add_argument("--categories", required=True, help="names by commas, or JSON of name: examples")
+    c.add_argument("--squeeze-first", action="store_true", help="classify the squeezed texts")
     c = add("stir", "index a file", text=False)
     c.add_argument("path")
     c.add_argument("--index", required=True)
@@ -90,14 +94,15 @@ def main(argv: list[str] | None = None) -> int:
             files.write_lines(s, args.output)
         else:
             print("\n".join(r.text for r in s.orderBy("id").toLocalIterator()))
+    elif args.command == "nibble" and args.ranks:
+        counters = {n: providers.token_counter(partial(providers.TiktokenCounter, f)) for n, f in (r.split("=", 1) for r in args.ranks)}
+        show([r.asDict() for r in tokens.token_stats(texts(spark, args), counters).drop("id").collect()])
     elif args.command == "nibble":
         show([r.asDict() for r in tokens.squeezed(texts(spark, args)).select("text", "squeezed", "tokens_saved", "compression_ratio").collect()])
     elif args.command == "sniff":
         by_example = args.categories.lstrip().startswith("{")
-        rows = vectors.parse_examples(json.loads(args.categories)) if by_example else [(n, i, n) for i, n in enumerate(_names(args.categories))]
-        examples = _embedded(spark.createDataFrame(rows, "category string, ord int, text string")).withColumnRenamed("embedding", "v")
-        d = _embedded(texts(spark, args))
-        got = (vectors.nearest_examples if by_example else vectors.nearest_name)(d, examples, "id", "embedding").join(d.select("id", "text"), "id")
+        categories = json.loads(args.categories) if by_example else _names(args.categories)
+        got = classify(texts(spark, args), categories, providers.embedder(), args.squeeze_first)
         show([{"text": r.text, "category": r.category, "confidence": round(r.confidence, 3)} for r in got.orderBy("id").collect()])
     elif args.command == "stir":
         TextIndex(spark, args.index, providers.embedder()).put(args.path, **{k: v for k, v in (("sheet", args.sheet), ("column", args.column)) if v})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import resources as R
@@ -32,6 +32,12 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
+def settled(df: DataFrame, out: str, c: Column) -> DataFrame:
+    """df with column out, which later steps take as it is: Spark doesn't find a Python function whose argument, put in line,
+    has a lambda in a lambda, and would compute an argument that several use again for each."""
+    return df.withColumn(out, F.explode(F.array(c)))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
@@ -97,9 +103,10 @@ def replace_words(c: Column, words: dict[str, str | None], chars: str = R.PEELED
     known = lambda t: F.lower(core(t, chars)).isin(*words) if words else F.lit(False)
 
     def one(t: Column) -> Column:
+        # no lambda in the lambda: Spark can't hand a Python function what has one
         p = peel(t, chars)
-        whole = lambda r: F.when(r == _GONE, r).otherwise(F.concat(p["prefix"], r, p["suffix"]))
-        return let(F.try_element_at(table, F.lower(p["core"])), whole)
+        r = F.try_element_at(table, F.lower(p["core"]))
+        return F.when(r == _GONE, r).otherwise(F.concat(p["prefix"], r, p["suffix"]))
 
     done = F.transform(tokens(c), lambda t: F.when(known(t), one(t)).otherwise(t))
     text = F.array_join(F.filter(done, lambda t: t != _GONE), " ")
@@ -135,6 +142,10 @@ def drop_intensifiers(ts: Column, intensifiers=R.INTENSIFIERS) -> Column:
     return F.filter(ts, lambda t: ~F.lower(t).isin(*intensifiers)) if intensifiers else ts
 
 
+def drop_stop_words(c: Column, stop_words=R.STOP_WORDS) -> Column:
+    return F.array_join(drop_intensifiers(tokens(c), sorted(stop_words)), " ")
+
+
 def dedup_consecutive(ts: Column) -> Column:
     """Tokens that, apart from case, differ from the one before."""
     return let(ts, lambda a: F.filter(a, lambda t, i: (i == 0) | (F.lower(t) != F.lower(F.get(a, i - 1)))))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import resources as R
 from ..functions import text as X
+from .morphology import Morphology
+from .morphology import reverse_translate as in_agreement
 from .tokens import percent_saved, squeeze
 
 
@@ -44,11 +46,19 @@ def rewrite_messages(df: DataFrame, rewrite: Callable[[Column], Column] | None =
     return d
 
 
-def rewrite_answers(df: DataFrame, dictionary: dict[str, str], text: str = "text", kind: str | None = None, translate: Callable[[Column], Column] | None = None, threshold: float = 0.3, out: str = "restored") -> DataFrame:
+def rewrite_system(df: DataFrame, rewrite: Callable[[Column], Column] | None = None, text: str = "system", blocks: str | None = None, skip=("json", "code")) -> DataFrame:
+    """df, a row a request, with its system prompt rewritten where it passes: a text, or blocks each by itself."""
+    rewrite = rewrite or (lambda c: squeeze(c, R.SEED))
+    t = F.col(text)
+    d = df.withColumn(text, F.when(X.should_process(t, skip), F.coalesce(rewrite(t), t)).otherwise(t))
+    return d.withColumn(blocks, rewrite_parts(F.col(blocks), rewrite, True, skip)) if blocks else d
+
+
+def rewrite_answers(df: DataFrame, dictionary: dict[str, str], text: str = "text", kind: str | None = None, translate: Callable[[Column], Column] | None = None, threshold: float = 0.3, out: str = "restored", morphology: Morphology | None = None) -> DataFrame:
     """Answers turned back; blocks of a kind other than text stay. Where more than threshold of the words stay foreign and
-    a translator is given, its result counts, unless it fails or is blank. Only those rows reach it."""
-    word_by_word = X.reverse_translate(F.col(text), dictionary)
-    d = df.withColumn("_w", word_by_word)
+    a translator is given, its result counts, unless it fails or is blank. Only those rows reach it. With a morphology
+    neighbouring words are put in agreement."""
+    d = in_agreement(df, dictionary, morphology, text, "_w") if morphology else df.withColumn("_w", X.reverse_translate(F.col(text), dictionary))
     if translate is None:
         d = d.withColumn(out, F.col("_w"))
     else:
@@ -74,4 +84,4 @@ def headers(**values: str | None) -> dict[str, str]:
     return {k.replace("_", "-").title(): v for k, v in values.items() if v}
 
 
-__all__ = ["headers", "message_passes", "message_savings", "percent_saved", "rewrite_answers", "rewrite_messages", "rewrite_parts"]
+__all__ = ["headers", "message_passes", "message_savings", "percent_saved", "rewrite_answers", "rewrite_messages", "rewrite_parts", "rewrite_system"]

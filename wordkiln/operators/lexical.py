@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import resources as R
 from ..functions import text as X
+from .providers import lemmatize_text
 
 K1, B = 1.2, 0.75
 
 
 def index_text(c, resources: R.Resources = R.SEED):
-    """What is indexed and what is searched: the normalised text."""
-    return X.normalize(c, resources)
+    """What is indexed and what is searched: the normalised text, its words by their lemmas as far as the resources have them."""
+    return lemmatize_text(X.normalize(c, resources), resources.lemmas)
 
 
 def postings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,7 +33,7 @@ def query_terms(query: str, resources: R.Resources | None = None, spark=None) ->
     """Words of more than one character as terms, each once."""
     words = query.split()
     if resources is not None and spark is not None:
-        words = (spark.range(1).select(X.normalize(F.lit(query), resources).alias("q")).first()["q"] or "").split()
+        words = (spark.range(1).select(index_text(F.lit(query), resources).alias("q")).first()["q"] or "").split()
     found = [t for w in words if len(w) > 1 for t in re.findall(r"[^\W_]+", w.lower().translate(_FOLD))]
     return list(dict.fromkeys(found))
 

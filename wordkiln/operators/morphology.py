@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import resources as R
+from ..functions import text as X
 
 FORMS_SCHEMA = "form string, lemma string, pos string, tags array<string>"
 VERBS = frozenset("VERB INFN GRND PRTF PRTS".split())
@@ -61,7 +62,9 @@ class Morphology:
 
     def agree(self, text: str) -> str:
         """Tokens in agreement with the one before: nouns in the case of a preposition, in the accusative after a verb, and past
-        verbs in the gender or number of a noun."""
+        verbs in the gender or number of a noun. Blank texts as they are."""
+        if not text.strip():
+            return text
         out: list[str] = []
         previous = ""
         for token in text.split():
@@ -95,6 +98,28 @@ def agreed(c: Column, morphology: Morphology) -> Column:
     return run(c)
 
 
+def reverse_translate(df: DataFrame, dictionary: dict[str, str], morphology: Morphology, text: str = "text", out: str = "restored") -> DataFrame:
+    """df with out: functions.text.reverse_translate() with neighbours in agreement; blank texts as they are."""
+    d = X.settled(df, "_back", X.reverse_translate(F.col(text), dictionary))
+    return d.withColumn(out, agreed(F.col("_back"), morphology)).drop("_back")
+
+
+def expanded(resources: R.Resources, morphology: Morphology) -> R.Resources:
+    """resources whose one-word rules reach the other forms of their words too: a form without a rule of its own takes that of
+    its lemma (of several the first), its replacement in the same form. All is settled before a plan is made, so words are
+    still looked up natively."""
+    own = resources.words()
+    of_lemma: dict[str, str | None] = {}
+    for word, replacement in own.items():
+        of_lemma.setdefault(morphology.lemma(word), replacement)
+    more = []
+    for form, readings in morphology.by_form.items():
+        if form not in own and readings[0][0] in of_lemma:
+            r = of_lemma[readings[0][0]]
+            more.append(R.Rule(form, None if r is None else morphology.like(form, r), "form", 1))
+    return resources.but(rules=(*resources.rules, *more))
+
+
 def inflected_like(word: Column, replacement: Column, morphology: Morphology) -> Column:
     """replacement in the form of word; null if either is."""
 

@@ -137,6 +137,8 @@ class LocalModel:
     url: str = "http://localhost:11434/api/generate"
     timeout: float = 60.0
     token: str = ""
+    temperature: float = 0.1
+    most_tokens: int = 1024
 
     def __post_init__(self):
         if self.backend not in BACKENDS:
@@ -148,7 +150,9 @@ class LocalModel:
         from urllib.error import URLError
         from urllib.request import Request, urlopen
 
-        body = {"model": self.model, "prompt": prompt, "stream": False} if self.backend == "ollama" else {"model": self.model, "messages": [{"role": "user", "content": prompt}]}
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.most_tokens}}
+        if self.backend != "ollama":
+            body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.most_tokens}
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
         try:
             with urlopen(Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as r:
@@ -164,3 +168,20 @@ class LocalModel:
         names = {str: "text", int: "integer", float: "number", bool: "yes/no"}
         wanted = ", ".join(f"{k} ({names.get(v, v.__name__)})" for k, v in fields.items())
         return [self.ask(f"Return one JSON object with the fields {wanted}, or null if the text has none of them.\n\nText: {t}") for t in texts]
+
+
+def translator(make: Callable[[], LocalModel] = LocalModel, to: str = "Ukrainian") -> Callable[..., Column]:
+    """A column function that asks a model for a translation, text by text; null where there is no answer."""
+
+    def build() -> Callable[[list], list]:
+        model = make()
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else model.ask(f"Give this text in {to}, and nothing else.\n\n{text}")
+            except ConnectionError:
+                return None
+
+        return lambda texts: [one(t) for t in texts]
+
+    return as_column(build, "string")

@@ -11,9 +11,11 @@ from .. import resources as R
 from ..functions import text as X
 
 
-def squeeze(c: Column, resources: R.Resources = R.SEED, lexicon: list | None = None) -> Column:
-    """Normalised and compressed, and translated if a lexicon is given; blank texts as they are."""
+def squeeze(c: Column, resources: R.Resources = R.SEED, lexicon: list | None = None, compressor: Callable[[Column], Column] | None = None) -> Column:
+    """Normalised and compressed, and translated if a lexicon is given; blank texts as they are. A compressor, a model, takes
+    the place of the rules where it gives something."""
     s = X.compress(X.normalize(c, resources), resources)
+    s = F.coalesce(compressor(X.normalize(c, resources)), s) if compressor else s
     s = X.translate(s, lexicon) if lexicon else s
     return F.when(X.blank(c), c).otherwise(s)
 
@@ -25,7 +27,7 @@ def squeezed(df: DataFrame, text: str = "text", resources: R.Resources = R.SEED,
     d = df.withColumn("_n", X.normalized(F.col(text), resources))
     s = X.compress(F.col("_n.text"), resources)
     s = X.translate(s, lexicon) if lexicon else s
-    d = d.withColumn("squeezed", F.when(X.blank(F.col(text)), F.col(text)).otherwise(s)).withColumn("replacements_made", F.col("_n.replacements_made")).drop("_n")
+    d = X.settled(d, "squeezed", F.when(X.blank(F.col(text)), F.col(text)).otherwise(s)).withColumn("replacements_made", F.col("_n.replacements_made")).drop("_n")
     for name, f in counters.items():
         d = d.withColumn(f"_a_{name}", f(F.col(text))).withColumn(f"_b_{name}", f(F.col("squeezed")))
     first = next(iter(counters))
@@ -41,7 +43,7 @@ def percent_saved(before: Column, after: Column) -> Column:
 
 def token_stats(df: DataFrame, counters: dict[str, Callable[[Column], Column]], text: str = "text", resources: R.Resources = R.SEED) -> DataFrame:
     """df with squeezed_text and, for each counter, its tokens, those of the squeezed text and the percentage saved."""
-    d = df.withColumn("squeezed_text", squeeze(F.col(text), resources))
+    d = X.settled(df, "squeezed_text", squeeze(F.col(text), resources))
     for n, f in counters.items():
         d = d.withColumn(n, f(F.col(text))).withColumn(f"{n}_squeezed", f(F.col("squeezed_text")))
         d = d.withColumn(f"savings_{n}_pct", percent_saved(F.col(n), F.col(f"{n}_squeezed")))

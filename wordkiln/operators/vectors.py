@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,40 @@ def topics(df: DataFrame, topic_vectors: DataFrame, threshold: float = 0.3, key:
     return t.select("topic").join(ranked, "topic", "left")
 
 
-def nearest_name(df: DataFrame, names: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """key, category, confidence: the name (category, ord, v) of the greatest cosine, the first of equal ones. No shuffle of df's vectors."""
-    pairs = df.select(key, vector).crossJoin(F.broadcast(names)).select(key, "category", "ord", cosine(F.col(vector), F.col("v")).alias("s"))
-    return pairs.groupBy(key).agg(F.max_by("category", F.struct("s", -F.col("ord"))).alias("category"), F.max("s").alias("confidence"))
+def _best(df: DataFrame, one: DataFrame, score, key: str, vector: str, keep: tuple[str, ...]) -> DataFrame:
+    """The candidates (array _c of one row) of the greatest score, of equal ones that of the least ord. Nothing is shuffled."""
+    best = F.array_max(F.transform("_c", lambda x: F.struct(score(x).alias("s"), (-x["ord"]).alias("o"), x["category"].alias("category"))))
+    scored = df.select(key, vector, *keep).crossJoin(F.broadcast(one)).select(key, *keep, best.alias("_b"))
+    return scored.select(key, *keep, F.col("_b.category").alias("category"), F.col("_b.s").alias("confidence"))
 
 
-def nearest_examples(df: DataFrame, examples: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest_name(df: DataFrame, names: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, category, confidence: the name (category, ord, v) of the greatest cosine, the first of equal ones."""
+    one = names.agg(F.collect_list(F.struct("category", "ord", "v")).alias("_c"))
+    return _best(df, one, lambda x: cosine(F.col(vector), x["v"]), key, vector, keep)
+
+
+def nearest_examples(df: DataFrame, examples: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, category, confidence: the category of the greatest mean cosine to its examples (category, ord, v); first of equals."""
-    pairs = df.select(key, vector).crossJoin(F.broadcast(examples)).select(key, "category", "ord", cosine(F.col(vector), F.col("v")).alias("s"))
-    means = pairs.groupBy(key, "category", "ord").agg(F.avg("s").alias("m"))
-    return means.groupBy(key).agg(F.max_by("category", F.struct("m", -F.col("ord"))).alias("category"), F.max("m").alias("confidence"))
+    one = examples.groupBy("category", "ord").agg(F.collect_list("v").alias("vs")).agg(F.collect_list(F.struct("category", "ord", "vs")).alias("_c"))
+    mean = lambda x: F.aggregate(x["vs"], F.lit(0.0), lambda s, v: s + cosine(F.col(vector), v)) / F.size(x["vs"])
+    return _best(df, one, mean, key, vector, keep)
+
+
+def to_bytes(vector: Column) -> Column:
+    """Vectors as their numbers' bytes, 4 each, the lowest first: for exchange with stores that keep them so."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in vectors], dtype=object)
+
+    return F.pandas_udf(run, "binary", F.PandasUDFType.SCALAR)(vector)
+
+
+def from_bytes(blob: Column) -> Column:
+    def run(blobs: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else np.frombuffer(b, dtype="<f4") for b in blobs], dtype=object)
+
+    return F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR)(blob)
 
 
 def parse_examples(categories: dict[str, str | list[str]]) -> list[tuple[str, int, str]]:

@@ -52,10 +52,10 @@ def replace_words(df: DataFrame, rules: DataFrame, key: str = "doc_id", text: st
     return joined_again(t.withColumn(out, done).filter(F.col(out).isNotNull()), df, key, out)
 
 
-def normalize(df: DataFrame, rules: DataFrame, resources: R.Resources, key: str = "doc_id", text: str = "text", out: str = "normalized") -> DataFrame:
-    """Normalisation with a table of one-word rules of any size; phrases and patterns are the resources'."""
+def normalize(df: DataFrame, rules: DataFrame, resources: R.Resources, key: str = "doc_id", text: str = "text", out: str = "normalized", morphology: Morphology | None = None, forms: DataFrame | None = None) -> DataFrame:
+    """Normalisation with a table of one-word rules of any size; phrases and patterns are the resources'. Lemmas as in replace_words()."""
     phrases = X.replace_phrases(X.fold_apostrophes(F.col(text)), resources.phrases())
-    d = replace_words(df.withColumn("_phrases", phrases), rules, key, "_phrases", out).drop("_phrases")
+    d = replace_words(df.withColumn("_phrases", phrases), rules, key, "_phrases", out, morphology, forms).drop("_phrases")
     return d.withColumn(out, X.apply_patterns(F.col(out), resources.patterns)[0])
 
 

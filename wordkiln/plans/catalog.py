@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import resources as R
 from ..functions import text as X
-from ..operators import chat, chunking, lexical, lexicon, retrieval, tokens, vectors, vocab, words
-from ..operators.stylemodel import StyleModel
-from ..sources import files
+from ..operators import chat, chunking, classify, lexical, lexicon, morphology, providers, retrieval, tokens, vectors, vocab, words
+from ..operators.morphology import Morphology
+from ..operators.stylemodel import StyleModel, needs_normalizing
+from ..sources import files, store
 from ..streaming.sentences import replay
 from . import sqltext as S
 
@@ -27,6 +28,7 @@ RULES = R.Resources(
     intensifiers=("to", "a", "les", "der"),
 )
 DICTIONARY = {"of the": "частина", "with": "з", "on": "на", "this": "цей", "der": "той", "que": "що"}
+_STOP_WORDS = ("the", "of", "and", "la", "der")
 LEXICON = [("of the", "OF"), ("to", "2"), ("for", "4"), ("der", "DR"), ("la", "LA"), ("on", "@")]
 
 
@@ -162,15 +164,17 @@ def translate_seed(spark, d):
 _SINGLE = {a: b for a, b in LEXICON if " " not in a}
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, unnest({S.tokens("text")}) AS t, generate_subscripts({S.tokens("text")}, 1) AS pos FROM documents),
+def _translated_sql(single: dict[str, str]) -> str:
+    return f"""WITH t AS (SELECT doc_id, unnest({S.tokens("text")}) AS t, generate_subscripts({S.tokens("text")}, 1) AS pos FROM documents),
     p AS (SELECT *, {S.prefix("t")} AS pre, {S.core("t")} AS c, {S.suffix("t")} AS suf FROM t),
     n AS (SELECT *, lower(c) = 'of' AND suf = '' AND lead(lower(c)) OVER w = 'the' AND lead(pre) OVER w = '' AS starts, lead(suf) OVER w AS tail FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     m AS (SELECT *, lag(starts) OVER (PARTITION BY doc_id ORDER BY pos) AS inside FROM n)
     SELECT doc_id, coalesce(string_agg(CASE WHEN starts THEN pre || 'OF' || tail WHEN inside THEN NULL WHEN c = '' THEN t
-      ELSE CASE lower(c) {" ".join(f"WHEN {S.q(a)} THEN pre || {S.q(b)} || suf" for a, b in _SINGLE.items())} ELSE t END END, ' ' ORDER BY pos), '') AS english FROM m GROUP BY doc_id
+      ELSE CASE lower(c) {" ".join(f"WHEN {S.q(a)} THEN pre || {S.q(b)} || suf" for a, b in single.items())} ELSE t END END, ' ' ORDER BY pos), '') AS english FROM m GROUP BY doc_id
     UNION ALL SELECT doc_id, text FROM documents WHERE len({S.tokens("text")}) = 0"""
-)
+
+
+@query(_translated_sql(_SINGLE))
 def translate_words(spark, d):
     return words.translate_words(_docs(spark, d), spark.createDataFrame(LEXICON, "word string, en_compressed string")).select("doc_id", "english")
 
@@ -434,6 +438,222 @@ def encode_ids(spark, d):
     return vocab.encode(docs, vocab.build(docs)).select("doc_id", F.array_join("ids", ",").alias("ids"))
 
 
+@query(f"SELECT doc_id, {S.normalize('text', RULES)} <> text AS needs FROM documents")
+def needs_normalizing_documents(spark, d):
+    """Without a style model a text needs normalising where that changes it."""
+    return needs_normalizing(_docs(spark, d), resources=RULES).select("doc_id", "needs")
+
+
+@query(f"SELECT doc_id, array_to_string({S.drop_words(S.tokens('text'), _STOP_WORDS)}, ' ') AS text FROM documents")
+def drop_stop_words(spark, d):
+    return _docs(spark, d).select("doc_id", X.drop_stop_words(F.col("text"), _STOP_WORDS).alias("text"))
+
+
+_BLANK_LINES = f"list_filter(list_transform(string_split_regex(regexp_replace(text, '[.] ', '.' || chr(10) || ' ' || chr(10), 'g'), '\\n{S.SP}*\\n'), lambda x: {S.strip('x')}), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, generate_subscripts(ps, 1) - 1 AS pos, unnest(ps) AS text FROM (SELECT doc_id, {_BLANK_LINES} AS ps FROM documents)")
+def paragraphs_blank_lines(spark, d):
+    """Paragraphs between blank lines, which are put after every full stop first."""
+    p = files.paragraphs(F.regexp_replace("text", "[.] ", ".\n \n"))
+    return _docs(spark, d).select("doc_id", F.posexplode(p).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _saved(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > 0 THEN round_even((1 - {b} / {a}::DOUBLE) * 100, 1) ELSE 0.0 END"
+
+
+@query(
+    f"""SELECT doc_id, words, words_squeezed, {_saved("words", "words_squeezed")} AS savings_words_pct, chars, chars_squeezed, {_saved("chars", "chars_squeezed")} AS savings_chars_pct
+    FROM (SELECT doc_id, len({S.tokens("text")})::BIGINT AS words, len({S.tokens("squeezed")})::BIGINT AS words_squeezed, length(text)::BIGINT AS chars, length(squeezed)::BIGINT AS chars_squeezed FROM ({_SQUEEZED}))"""
+)
+def token_stats_two_counters(spark, d):
+    counters = {"words": X.token_count, "chars": lambda c: F.length(c).cast("long")}
+    return tokens.token_stats(_docs(spark, d), counters, resources=RULES).select("doc_id", *[f(n) for n in counters for f in (str, "{}_squeezed".format, "savings_{}_pct".format)])
+
+
+@query(
+    f"""SELECT doc_id, words_saved, CASE WHEN a > 0 THEN round(1 - b / a::DOUBLE, 3) END AS ratio FROM (SELECT doc_id, a, b, (a - b)::INTEGER AS words_saved
+    FROM (SELECT doc_id, len({S.tokens("text")}) AS a, len({S.tokens("squeezed")}) AS b FROM ({_SQUEEZED})))"""
+)
+def squeeze_documents(spark, d):
+    s = tokens.squeezed(_docs(spark, d), resources=RULES)
+    return s.select("doc_id", F.col("tokens_saved")["words"].alias("words_saved"), F.col("compression_ratio").alias("ratio"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {S.strip('text')} = '' THEN text WHEN contains(nt, ' & ') THEN left(nt, 40) ELSE compressed END AS text FROM ({_compressed(f'(SELECT *, {S.normalize('text', RULES)} AS nt FROM documents)', 'nt')})")
+def compress_by_model(spark, d):
+    """A model that answers for some texts takes the place of the rules there."""
+    model = lambda c: F.when(c.contains(" & "), F.left(c, F.lit(40)))
+    return _docs(spark, d).select("doc_id", tokens.squeeze(F.col("text"), RULES, compressor=model).alias("text"))
+
+
+@query("SELECT vec_id, (4 * len(embedding))::INTEGER AS size, true AS same FROM embeddings")
+def vector_codec(spark, d):
+    b = _table(spark, d, "embeddings").select("vec_id", "embedding", vectors.to_bytes(F.col("embedding")).alias("b"))
+    return b.select("vec_id", F.octet_length("b").alias("size"), (vectors.from_bytes(F.col("b")) == F.col("embedding").cast("array<float>")).alias("same"))
+
+
+@query(
+    f"""SELECT vec_id, round(score, 6) AS score, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rn
+    FROM (SELECT vec_id, label, {S.cosine("embedding", "q")} AS score FROM embeddings, {_FIRST})) WHERE rn = 1 ORDER BY score DESC, vec_id LIMIT 10"""
+)
+def vector_topk_distinct(spark, d):
+    e = _table(spark, d, "embeddings")
+    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    return vectors.top_k(e, q, 10, distinct="label").select("vec_id", F.round("score", 6).alias("score"), "label")
+
+
+@query("SELECT * FROM (VALUES ('a', 0, 'x'), ('a', 0, 'y'), ('b', 1, 'x y'), ('b', 1, 'z'), ('c', 2, 'p q'), ('d', 3, 'one')) v(category, ord, example)")
+def example_parsing(spark, d):
+    return spark.createDataFrame(vectors.parse_examples({"a": "x y", "b": "x y, z", "c": ["p q"], "d": "one"}), "category string, ord int, example string")
+
+
+def _letters(c: str) -> str:
+    return "[" + ", ".join(f"(length({c}) - length(replace({c}, '{x}', '')))::FLOAT" for x in "etaoin") + "]"
+
+
+_CATEGORIES = ["the tea", "donation", "in a tent"]
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, squeezed AS text, {_letters("squeezed")} AS v FROM ({_SQUEEZED})),
+    k AS (SELECT category, ord, {_letters("category")} AS c FROM (SELECT unnest([{", ".join(map(S.q, _CATEGORIES))}]) AS category, generate_subscripts([{", ".join(map(S.q, _CATEGORIES))}], 1) AS ord)),
+    p AS (SELECT doc_id, text, category, ord, {S.cosine("v", "c")} AS score FROM s, k)
+    SELECT doc_id, text, category, round(score, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn FROM p) WHERE rn = 1"""
+)
+def classify_squeezed(spark, d):
+    """Squeezed texts by category, with counts of letters as vectors."""
+    embed = lambda c: F.array(*[(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))).cast("float") for x in "etaoin"])
+    c = classify.classify(_docs(spark, d), _CATEGORIES, embed, True, RULES, "doc_id")
+    return c.select("doc_id", "text", "category", F.round("confidence", 6).alias("confidence"))
+
+
+def _with_parts(c: DataFrame) -> DataFrame:
+    part = lambda kind, text, payload: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(payload).cast("string").alias("payload"))
+    return c.withColumn("parts", F.array(part("image", F.lit(None).cast("string"), "p"), part("text", F.col("text"), None)))
+
+
+@query(f"SELECT conv_id, turn, role IN ('user', 'assistant') AND {S.should_process('text')} AS passes FROM conversations")
+def guard_message_parts(spark, d):
+    c = _with_parts(_table(spark, d, "conversations"))
+    return c.select("conv_id", "turn", chat.message_passes(F.col("role"), F.lit(None).cast("string"), F.col("parts"), ("user", "assistant")).alias("passes"))
+
+
+_REWRITTEN = f"CASE WHEN {S.should_process('text')} THEN {S.normalize('text', RULES)} ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, {_REWRITTEN} AS system, 'image' AS first_type, {_REWRITTEN} AS block FROM conversations")
+def rewrite_system_prompts(spark, d):
+    """Every turn's text as a system prompt, once as a text and once as a block beside another that isn't text."""
+    c = _with_parts(_table(spark, d, "conversations")).withColumnRenamed("text", "system")
+    c = chat.rewrite_system(c, lambda t: X.normalize(t, RULES), "system", "parts")
+    return c.select("conv_id", "turn", "system", F.col("parts")[0]["type"].alias("first_type"), F.col("parts")[1]["text"].alias("block"))
+
+
+@query(
+    f"""WITH b AS MATERIALIZED (SELECT doc_id, text, {_BACK_SQL} AS back FROM documents), t AS (SELECT doc_id, unnest({S.tokens("back")}) AS t FROM b),
+    n AS (SELECT doc_id, count(*) FILTER ({_FOREIGN}) / count(*)::DOUBLE AS ratio FROM t GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(ratio, 0.0) > 0.3 AND contains(text, 'the ') THEN 'T:' || text ELSE back END AS text FROM b LEFT JOIN n USING (doc_id)"""
+)
+def answers_with_fallback(spark, d):
+    """Texts turned back; where much stays foreign a translator is asked, which gives blanks for some."""
+    ask = lambda c: F.when(c.contains("the "), F.concat(F.lit("T:"), c)).otherwise(F.lit(" "))
+    return chat.rewrite_answers(_docs(spark, d), DICTIONARY, translate=ask).select("doc_id", F.col("restored").alias("text"))
+
+
+_HEADERS_GIVEN = {"x_title": "a", "authorization": "", "user_agent": "b"}
+
+
+@query("SELECT * FROM (VALUES ('X-Title', 'a'), ('User-Agent', 'b')) v(name, value)")
+def request_headers(spark, d):
+    return spark.createDataFrame(list(chat.headers(**_HEADERS_GIVEN).items()), "name string, value string")
+
+
+_LEMMAS = {"and": "la", "is": "on", "das": "der"}
+
+
+@query(_translated_sql(_SINGLE | {f: _SINGLE[m] for f, m in _LEMMAS.items()}))
+def translate_words_lemmas(spark, d):
+    """Words that the dictionary lacks are translated by their lemmas."""
+    lemmas = spark.createDataFrame(list(_LEMMAS.items()), "form string, lemma string")
+    return words.translate_words(_docs(spark, d), spark.createDataFrame(LEXICON, "word string, en_compressed string"), lemmas=lemmas).select("doc_id", "english")
+
+
+_FORMS = {"їсть": "їсти", "жаба": "жабка"}
+_LEMMATIZED = "array_to_string(list_transform(regexp_extract_all(lower(t), '[а-яіїєґёʼ'']+|[^" + S.SP[1:] + "+'), lambda w: CASE w " + " ".join(f"WHEN {S.q(a)} THEN {S.q(b)}" for a, b in _FORMS.items()) + " ELSE w END), ' ')"
+
+
+@query(f"SELECT id, {_LEMMATIZED} AS text FROM {_values(_CYRILLIC)} UNION ALL SELECT doc_id + 1000, {_LEMMATIZED} FROM (SELECT doc_id, text AS t FROM documents)")
+def lemmatize(spark, d):
+    t = _inline(spark, _CYRILLIC).unionByName(_docs(spark, d).select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t")))
+    return t.select("id", providers.lemmatize_text(F.col("t"), _FORMS).alias("text"))
+
+
+_TABLE_FORMS = {"and": "&&", "der": "d", "of": "o"}
+_BY_TABLE = f"CASE WHEN {S.core('t')} = '' THEN t ELSE {S.prefix('t')} || CASE {S.core('t')} " + " ".join(f"WHEN {S.q(a)} THEN {S.q(b)}" for a, b in _TABLE_FORMS.items()) + f" ELSE {S.core('t')} END || {S.suffix('t')} END"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({S.tokens('lower(text)')}, lambda t: {_BY_TABLE}), ' ') AS text FROM documents")
+def lemmatize_join(spark, d):
+    forms = spark.createDataFrame(list(_TABLE_FORMS.items()), "form string, lemma string")
+    return providers.lemmatize_table(_docs(spark, d), forms, "doc_id", "text", "lemmas").select("doc_id", F.col("lemmas").alias("text"))
+
+
+_MORPHOLOGY = Morphology([
+    ("баг", "баг", "NOUN", frozenset("masc nomn sing".split())), ("багом", "баг", "NOUN", frozenset("masc ablt sing".split())),
+    ("помилка", "помилка", "NOUN", frozenset("femn nomn sing".split())), ("помилкою", "помилка", "NOUN", frozenset("femn ablt sing".split())),
+    ("помилку", "помилка", "NOUN", frozenset("femn accs sing".split())), ("помилці", "помилка", "NOUN", frozenset("femn loct sing".split())),
+    ("виправ", "виправити", "VERB", frozenset("impr sing".split())), ("впав", "впасти", "VERB", frozenset("past masc sing".split())), ("впала", "впасти", "VERB", frozenset("past femn sing".split())),
+])
+_AGREED = [("in error, server", "у помилці, server"), ("fix the error!", "виправ помилку!"), ("error fell", "помилка впала"), ("  ", "  "), ("", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {S.q(b)})" for i, (_, b) in enumerate(_AGREED)) + ") v(id, text)")
+def reverse_translate_agreed(spark, d):
+    """Answers turned back with nouns and verbs in agreement."""
+    words_of = {"in": "у", "error": "помилка", "fix": "виправ", "fell": "впав"}
+    return morphology.reverse_translate(_inline(spark, [a for a, _ in _AGREED]), words_of, _MORPHOLOGY, "t", "text").select("id", "text")
+
+
+_INFLECTED = [("з багом, тут", "з помилкою, тут"), ("баг впала", "помилка"), ("(Багом)", "(помилкою)"), ("впав", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {S.q(b)})" for i, (_, b) in enumerate(_INFLECTED)) + ") v(id, text)")
+def normalize_by_lemma(spark, d):
+    """Rules reach the other forms of their words, and their replacements take these forms."""
+    rules = morphology.expanded(R.SEED.but(rules=(R.Rule("баг", "помилка"), R.Rule("впав", None))), _MORPHOLOGY)
+    return _inline(spark, [a for a, _ in _INFLECTED]).select("id", X.normalize(F.col("t"), rules).alias("text"))
+
+
+@query(
+    f"""WITH v AS ({_VOCAB}), t AS (SELECT doc_id, unnest(({S.tokens("lower(text)")})[1:62]) AS word, generate_subscripts(({S.tokens("lower(text)")})[1:62], 1) AS pos FROM documents)
+    SELECT doc_id, string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE word END, ' ' ORDER BY pos) AS text FROM t LEFT JOIN v USING (word) GROUP BY doc_id
+    UNION ALL SELECT doc_id, '' FROM documents WHERE len({S.tokens("text")}) = 0"""
+)
+def decode_ids(spark, d):
+    """Texts encoded and decoded again: the words that a vocabulary holds."""
+    docs = _docs(spark, d)
+    v = vocab.build(docs)
+    return vocab.decode(vocab.encode(docs, v), v)
+
+
+_WINDOWS = [("один два три ok", "one two three ok"), ("два три один", "two three один"), ("plain words", "plain words"), ("слово", "слово")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {S.q(b)})" for i, (_, b) in enumerate(_WINDOWS)) + ") v(id, translated)")
+def translate_windows(spark, d):
+    known = {"один два три": "one two three", "два три": "two three", "три один": "<UNK> <UNK>"}
+    ask = lambda c: F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), c)
+    return vocab.translate_windows(_inline(spark, [a for a, _ in _WINDOWS]), ask, "id", "t").select("id", "translated")
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'kept' END, CASE source WHEN 'wiki' THEN 'encyclopedia' WHEN 'web' THEN 'crawl' END) AS corpus FROM documents")
+def corpus_of_source(spark, d):
+    raw = _docs(spark, d).withColumn("corpus", F.when(F.col("doc_id") % 3 == 0, "kept"))
+    return store.with_corpus(raw, {"wiki": "encyclopedia", "web": "crawl"}).select("doc_id", "corpus")
+
+
 @query()
 def style_predict(spark, d):
     """A style model trained on the labelled documents, predicting all of them."""
@@ -442,7 +662,13 @@ def style_predict(spark, d):
     return StyleModel.train(labelled).predict(docs.select("doc_id", "text")).select("doc_id", "style")
 
 
-@query()
+_ENDS = f"""regexp_replace(regexp_replace(regexp_replace(text, '{S.SP}+$', ''), '(\\.\\.\\.|[A-Za-zА-Яа-яЄІЇєіїҐґ'')\"\\]][?!.])({S.SP}|$)', '\\1' || chr(1) || '\\2', 'g'), chr(10), chr(10) || chr(1), 'g')"""
+
+
+@query(
+    f"""SELECT conv_id || '/' || turn AS stream_id, (generate_subscripts(ss, 1) - 1)::INTEGER AS part, unnest(ss) AS sentence
+    FROM (SELECT conv_id, turn, list_filter(string_split({_ENDS}, chr(1)), lambda x: x <> '') AS ss FROM conversations)"""
+)
 def stream_sentences(spark, d):
     """Every conversation turn as a stream of tokens, assembled to sentences."""
     c = _table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("stream_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))).alias("seq", "token"))
