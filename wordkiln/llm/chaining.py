@@ -24,6 +24,8 @@ IDENTITY = 0.7
 HOT_SHARE = 1e-5
 FREQUENT = 8
 SPREAD = 1024
+#: Words whose seeds are made at a time; a longer text is taken whole.
+PIECE = 200_000
 #: Chains of one document, its own and those others have with it, that are joined with its words in one task.
 CHAINS_A_TASK = 10_000
 _PUNCTUATION = ".,!?;:()[]\"'«»—–-…|*"
@@ -79,8 +81,16 @@ def seeds_of(values: np.ndarray, offsets: np.ndarray, k: int = K, window: int =
 
 
 def _seeds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """seeds_of() the batch, some rows at a time: it holds many arrays as long as the words it is given."""
     values, offsets = flat(b.column("w"))
-    return seeds_of(np.ascontiguousarray(values), offsets)
+    out, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        row, pos, h = seeds_of(np.ascontiguousarray(values[offsets[at] : offsets[end]]), offsets[at : end + 1] - offsets[at])
+        out.append((row + at, pos, h))
+        at = end
+    z = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (z, z, z.view(np.uint64))
 
 
 def _emit_seeds(batches):
