@@ -21,6 +21,9 @@ SIMILARITY = 0.6
 SHARD = 16_384
 #: Two documents at SIMILARITY share at least one of their shards with this probability, however many documents there are.
 SHARED = 0.988
+#: Names of shards are as long as for so many times the documents: those of one language share their common words, so shards named by
+#: two words fill with unrelated documents, and their pairs grow with the square (18.5 million over 0.1 GB, 449 million over 0.51 GB).
+CROWD = 100
 #: Shards up to this size are searched side by side in numpy, without a graph each.
 SMALL = 48
 #: Pairs held by a task before they are thinned to a forest, and edges of one component that are thinned together.
@@ -38,6 +41,11 @@ def bands_of(n: int, similarity: float = SIMILARITY, shared: float = SHARED) ->
     return r, max(1, math.ceil(math.log(1 - shared) / math.log(1 - similarity**r)))
 
 
+def names_of(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(r, bands) for n documents: bands_of() CROWD times as many. Longer names come with more bands, so no chance is lost."""
+    return bands_of(CROWD * n, similarity)
+
+
 def simhash(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """[rows, 2] uint64: of each row's token hashes, the majority of each of 128 bits (ties: 0).
 
@@ -305,7 +313,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     are compared with none and stay. Rows with a null key are left out; keys must be whole numbers. Rows of one key are
     one document. Very long texts are read whole. An empty table gives an empty one. Other columns are not read.
     """
-    prints = stored(fingerprints(docs, key, text, *bands_of(docs.count(), similarity)), "prints")
+    prints = stored(fingerprints(docs, key, text, *names_of(docs.count(), similarity)), "prints")
     same = prints.filter("n > 0").groupBy("k0", "k1").agg(F.min("id").alias("rep"))
     # one row a text on the right: where copies make a key hot, the left side is split by adaptive execution
     named = prints.select("id", "k0", "k1", "n").join(same, ["k0", "k1"], "left").select("id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), "n")
@@ -351,7 +359,7 @@ def audit(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 
     Exact search holds the queries' word sets against those of every document, in all partitions.
     """
-    prints = stored(fingerprints(docs, key, text, *bands_of(docs.count(), similarity)).filter("n > 0").dropDuplicates(["k0", "k1"]), "audit")
+    prints = stored(fingerprints(docs, key, text, *names_of(docs.count(), similarity)).filter("n > 0").dropDuplicates(["k0", "k1"]), "audit")
     reps = prints.select("id", "f0", "f1", F.col("id").alias("label"), "shards")
     sets = docs.select(record_key(docs, key).alias("id"), _word_set(_plain(docs[text])).alias("h")).join(reps.select("id", "f0", "f1"), "id").dropDuplicates(["id"])
     asked = sets.orderBy(F.xxhash64("id", F.lit(3))).limit(queries).toPandas()
