@@ -20,6 +20,8 @@ MAX_GAP = 24
 GAP_COST = 0.2
 REACH = 24
 IDENTITY = 0.7
+#: Words of both documents that alignment passes as an edit, if the two words after them agree.
+EDITS = ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1), (3, 3))
 #: A seed that makes up this share of all (so at most 100,000 do) is hot; a batch that holds it is known by FREQUENT of them.
 HOT_SHARE = 1e-5
 FREQUENT = 8
@@ -93,10 +95,32 @@ def _seeds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (z, z, z.view(np.uint64))
 
 
+def _beside(values: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, k: int = K) -> np.ndarray:
+    """Six bits of each of the five words before a seed (the low half) and after it, nearest first; 0 beyond the text."""
+    code, at, out = (values & 63).astype(np.uint8), offsets[row] + pos, np.zeros(len(row), dtype=np.int64)
+    for j in range(5):
+        for place, inside, shift in ((at - 1 - j, at - 1 - j >= offsets[row], 6 * j), (at + k + j, at + k + j < offsets[row + 1], 30 + 6 * j)):
+            out[inside] |= code[place[inside]].astype(np.int64) << shift
+    return out
+
+
+def _extends(beside: np.ndarray, rbeside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether _extend() may pass a word to the left, and to the right, of seeds in two documents. Never False where it does; -1: unknown."""
+    out = []
+    for shift in (0, 30):
+        x, y = ([(v >> (shift + 6 * j)) & 63 for j in range(5)] for v in (beside, rbeside))
+        may = (beside < 0) | (rbeside < 0) | (x[0] == y[0])
+        for p, q in EDITS:
+            may |= (x[p] == y[q]) & (x[p + 1] == y[q + 1])
+        out.append(may)
+    return out[0], out[1]
+
+
 def _emit_seeds(batches):
     for b in batches:
         row, pos, h = _seeds(b)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(pa.array(row)), pa.array(pos.astype(np.int32))], ["h", "id", "pos"])
+        beside = _beside(*flat(b.column("w")), row, pos)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(beside)], ["h", "id", "pos", "beside"])
 
 
 def _frequent(least: int):
@@ -130,7 +154,7 @@ def hot_seeds(coded: DataFrame, share: float = HOT_SHARE, least: int = FREQUENT)
 
 
 def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> DataFrame:
-    """id, pos, ref, rpos: for each seed an early occurrence in an earlier document, the first but for hot seeds.
+    """id, pos, ref, rpos, beside, rbeside (_beside()): for each seed an early occurrence in an earlier document, the first but for hot seeds.
 
     One link an occurrence, so a passage of thousands of documents costs as many links, not their square. It loses
     nothing: every seed of a passage that was there before has such a link, and what is found is a run of words covered.
@@ -138,7 +162,7 @@ def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> Dat
     linked as those of other seeds.
     """
     coded = docs.select(record_key(docs, key).alias("id"), word_codes(docs[text]).alias("w")).filter("id is not null")
-    s = coded.mapInArrow(_emit_seeds, "h long, id long, pos int")
+    s = coded.mapInArrow(_emit_seeds, "h long, id long, pos int, beside long")
     hot = hot_seeds(coded, share)
     if hot.limit(1).count():
         s = s.join(bounded(hot, 40), "h", "left").withColumn("far", F.coalesce(F.col("id") > F.col("hid"), F.lit(False)))
@@ -146,19 +170,33 @@ def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> Dat
     else:
         s = s.select("*", F.lit(0).alias("part"), F.lit(False).alias("far"), F.lit(0).cast("long").alias("hid"), F.lit(0).alias("hpos"))
     w = Window.partitionBy("h", "part").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select("id", "pos", F.when(F.col("far"), F.col("hid")).otherwise(F.first("id").over(w)).alias("ref"), F.when(F.col("far"), F.col("hpos")).otherwise(F.first("pos").over(w)).alias("rpos"))
+    s = s.select("id", "pos", F.when(F.col("far"), F.col("hid")).otherwise(F.first("id").over(w)).alias("ref"), F.when(F.col("far"), F.col("hpos")).otherwise(F.first("pos").over(w)).alias("rpos"), "beside", F.when(F.col("far"), F.lit(-1).cast("long")).otherwise(F.first("beside").over(w)).alias("rbeside"))
     return s.filter("ref <> id")
 
 
-def anchors_of(key: np.ndarray, pos: np.ndarray, rpos: np.ndarray, k: int = K, gap: int = MAX_GAP):
-    """Runs of links on one diagonal: (key, start, end, ref start, ref end); key numbers the pair of documents."""
+def anchors_of(key: np.ndarray, pos: np.ndarray, rpos: np.ndarray, left: np.ndarray, right: np.ndarray, k: int = K, gap: int = MAX_GAP):
+    """Runs of links on one diagonal: (key, start, end, ref start, ref end, left of the first, right of the last); key numbers the pair of documents."""
     diagonal = rpos - pos
     s = np.lexsort((pos, diagonal, key))
     key, pos, rpos, diagonal = key[s], pos[s], rpos[s], diagonal[s]
     new = np.r_[True, (key[1:] != key[:-1]) | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > gap)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(key)] - 1
-    return key[first], pos[first], pos[last] + k, rpos[first], rpos[last] + k
+    return key[first], pos[first], pos[last] + k, rpos[first], rpos[last] + k, left[s][first], right[s][last]
+
+
+def long_runs(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, min_words: int) -> np.ndarray:
+    """Which intervals (lo to hi, of one document each) lie in runs, joined as aligned chains are, of at least min_words."""
+    if not len(ids):
+        return np.zeros(0, dtype=bool)
+    s = np.lexsort((lo, ids))
+    doc = np.cumsum(np.r_[0, ids[s][1:] != ids[s][:-1]])
+    far = np.maximum.accumulate(hi[s] + (doc << 32)) - (doc << 32)
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (lo[s][1:] - far[:-1] > 3)])
+    last = np.r_[first[1:], len(s)] - 1
+    keep = np.zeros(len(s), dtype=bool)
+    keep[s] = np.repeat(far[last] - lo[s][first] >= min_words, last - first + 1)
+    return keep
 
 
 def chains_of(start, end, rstart, rend, cost: float = GAP_COST) -> list[list[int]]:
@@ -214,30 +252,27 @@ CHAINS = "id long, ref long, start int, end int, rstart int, rend int, anchors a
 def _chain(min_words: int):
     def run(batches):
         for t in runs(batches, "id"):
-            ids, ref, pos, rpos = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "ref", "pos", "rpos"))
+            ids, ref, pos, rpos, beside, rbeside = (t.column(c).to_numpy().astype(np.int64) for c in ("id", "ref", "pos", "rpos", "beside", "rbeside"))
             order = np.lexsort((ref, ids))
             ids, ref, pos, rpos = ids[order], ref[order], pos[order], rpos[order]
+            left, right = _extends(beside[order], rbeside[order])
             key = np.cumsum(np.r_[False, (ids[1:] != ids[:-1]) | (ref[1:] != ref[:-1])])
             at = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
-            k, s, e, rs, re = anchors_of(key, pos, rpos)
-            cuts = np.r_[0, np.flatnonzero(np.diff(k)) + 1, len(k)]
-            found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                a = (s[lo:hi].tolist(), e[lo:hi].tolist(), rs[lo:hi].tolist(), re[lo:hi].tolist())
-                d, r = int(ids[at[k[lo]]]), int(ref[at[k[lo]]])
+            k, s, e, rs, re, left, right = anchors_of(key, pos, rpos, left, right)
+            # What couldn't reach min_words, even if aligned as far as the words beside it allow, is left out: whole pairs first, then chains.
+            lo, hi = np.where(left, s - REACH, s), np.where(right, e + REACH, e)
+            cuts = np.r_[0, np.flatnonzero(np.diff(k)) + 1]
+            pairs = np.flatnonzero(long_runs(ids[at], np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), min_words))
+            cuts = np.r_[cuts, len(k)]
+            found, spans = [], []
+            for i, j in zip(cuts[pairs].tolist(), cuts[pairs + 1].tolist(), strict=True):
+                a = (s[i:j].tolist(), e[i:j].tolist(), rs[i:j].tolist(), re[i:j].tolist())
+                d, r = int(ids[at[k[i]]]), int(ref[at[k[i]]])
                 for c in chains_of(*a):
-                    found.append((d, r, a[0][c[0]], a[1][c[-1]], a[2][c[0]], a[3][c[-1]], [x for i in c for x in (a[0][i], a[1][i], a[2][i], a[3][i])]))
-            found.sort(key=lambda x: (x[0], x[2]))
-            # A run of chains that couldn't reach min_words even if aligned to the full reach at both ends is left out.
-            out, i = [], 0
-            while i < len(found):
-                j, far = i + 1, found[i][3]
-                while j < len(found) and found[j][0] == found[i][0] and found[j][2] - far <= 2 * REACH:
-                    far = max(far, found[j][3])
-                    j += 1
-                if far - found[i][2] + 2 * REACH >= min_words:
-                    out += found[i:j]
-                i = j
+                    found.append((d, r, a[0][c[0]], a[1][c[-1]], a[2][c[0]], a[3][c[-1]], [x for y in c for x in (a[0][y], a[1][y], a[2][y], a[3][y])]))
+                    spans.append((d, int(lo[i + c[0]]), int(hi[i + c[-1]])))
+            keep = long_runs(*np.array(spans, dtype=np.int64).reshape(-1, 3).T, min_words)
+            out = sorted((x for x, y in zip(found, keep.tolist(), strict=True) if y), key=lambda x: (x[0], x[2]))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "ref", "start", "end", "rstart", "rend", "anchors"])
@@ -265,7 +300,7 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         if x[i] == y[j]:
             i, j, m = i + 1, j + 1, m + 1
             continue
-        for p, q in ((1, 1), (0, 1), (1, 0), (2, 2), (0, 2), (2, 0), (1, 2), (2, 1), (3, 3)):
+        for p, q in EDITS:
             if x[i + p : i + p + 2] == y[j + q : j + q + 2] and len(x[i + p : i + p + 2]) == 2:
                 i, j = i + p, j + q
                 break
