@@ -207,3 +207,58 @@ def test_chance_seeds_are_not_aligned_and_nothing_is_lost():
     assert got[0] == got[1] and len(got[0]) >= 5
     assert n[0] < 0.7 * n[1]
     print(n)
+
+
+def test_hot_seeds_by_chance_are_not_aligned(spark, documents, monkeypatch):
+    """Four words that all documents hold, a passage that some do: of the links to the hot seed none makes a chain."""
+    rng = random.Random(11)
+    p, four = _words(rng, 60), _words(rng, 4)
+    rows = [(i, " ".join(_words(rng, 40) + four + _words(rng, 40) + (p if i % 50 == 0 else []))) for i in range(300)]
+    d = documents(rows).repartition(3)
+    monkeypatch.setattr(C, "hot_seeds", lambda coded, share, real=C.hot_seeds: real(coded, 1e-3))
+    found = C.links(d, "doc_id", "text")
+    hot = found.filter("pos = 40 and rpos = 40").collect()
+    assert len(hot) >= 30 and all(r.rbeside > 0 for r in hot)
+    read, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, label: read.append((label, stored(df, label))) or read[-1][1])
+    assert {(r.doc_id, r.start_word, r.end_word) for r in C.passages(d).collect()} == {(i, 84, 144) for i in range(50, 300, 50)}
+    assert dict(read)["chains"].count() == 5 and dict(read)["linked"].count() == 6
+
+
+def test_short_passages_are_not_aligned():
+    """Thirty words that two documents share can't reach 40, however near to their edges the seeds are; forty can."""
+    rng = np.random.default_rng(4)
+    for shared, least in ((30, 0), (40, 100)):
+        n = 0
+        for _ in range(100):
+            a, b = rng.integers(-(2**62), 2**62, (2, 150))
+            b[70 : 70 + shared] = a[50 : 50 + shared]
+            values, offsets = np.concatenate([a, b]), np.array([0, 150, 300])
+            row, pos, h = C.seeds_of(values, offsets)
+            beside = C._beside(values, offsets, row, pos)
+            first = {x: i for i, x in reversed(list(enumerate(h.tolist())))}
+            pairs = [(i, first[x]) for i, x in enumerate(h.tolist()) if row[i] == 1 and row[first[x]] == 0]
+            at, to = np.array(pairs).T
+            left, right = C._extends(beside[at], beside[to])
+            x, y, lo, hi = pos[at[0]], pos[at[-1]], left[0], right[-1]
+            assert x - lo <= 70 and y + C.K + hi >= 70 + shared
+            cols = row[at], row[to], pos[at], pos[to], beside[at], beside[to]
+            links = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "ref", "pos", "rpos", "beside", "rbeside"])
+            n += sum(t.num_rows for t in C._chain(40)(iter([links])))
+        assert n >= least and (least or n <= 30)
+
+
+def test_no_more_words_are_passed_than_those_beside_allow():
+    rng = np.random.default_rng(5)
+    vocabulary = rng.integers(-(2**62), 2**62, 30)
+    tight = 0
+    for _ in range(5000):
+        a = vocabulary[rng.integers(0, 30, 40)]
+        b = np.concatenate([vocabulary[rng.integers(0, 30, int(rng.integers(0, 3)))], np.where(rng.random(40) < 0.4, vocabulary[rng.integers(0, 30, 40)], a)])[:40]
+        b[:4] = a[:4] = 7
+        beside = C._beside(np.concatenate([a, b]), np.array([0, 40, 80]), np.array([0, 1]), np.array([0, 0]))
+        _, right = C._extends(beside[:1], beside[1:])
+        i, _, _ = C._extend(a[4 : 4 + C.REACH], b[4 : 4 + C.REACH])
+        assert i <= right[0]
+        tight += i == right[0]
+    assert tight > 1000

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, flat, free_name, mix, record_key, released, runs, stored
+from .common import bounded, fits, flat, free_name, mix, record_key, released, runs, stored
 
 K = 4
 #: Of every WINDOW k-mers in a row at least the least by hash is a seed, in whatever document they stand.
 WINDOW = 4
 #: Words in a row that must be covered; an edge is found to the word unless words beside it differ, hence less than 50.
 MIN_WORDS = 40
+#: Words known on either side of a seed: from the last seed of a passage to its end are WINDOW - 1 at most, an edit there looks at four more.
+BESIDE = 7
 MAX_GAP = 24
 GAP_COST = 0.2
 REACH = 24
@@ -96,23 +98,33 @@ def _seeds(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _beside(values: np.ndarray, offsets: np.ndarray, row: np.ndarray, pos: np.ndarray, k: int = K) -> np.ndarray:
-    """Six bits of each of the five words before a seed (the low half) and after it, nearest first; 0 beyond the text."""
-    code, at, out = (values & 63).astype(np.uint8), offsets[row] + pos, np.zeros(len(row), dtype=np.int64)
-    for j in range(5):
-        for place, inside, shift in ((at - 1 - j, at - 1 - j >= offsets[row], 6 * j), (at + k + j, at + k + j < offsets[row + 1], 30 + 6 * j)):
+    """Four bits of each of the BESIDE words before a seed (the low half) and after it, nearest first; 0 beyond the text."""
+    code, at, out = (values & 15).astype(np.uint8), offsets[row] + pos, np.zeros(len(row), dtype=np.int64)
+    for j in range(BESIDE):
+        for place, inside, shift in ((at - 1 - j, at - 1 - j >= offsets[row], 4 * j), (at + k + j, at + k + j < offsets[row + 1], 4 * (BESIDE + j))):
             out[inside] |= code[place[inside]].astype(np.int64) << shift
     return out
 
 
 def _extends(beside: np.ndarray, rbeside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether _extend() may pass a word to the left, and to the right, of seeds in two documents. Never False where it does; -1: unknown."""
+    """Words that _extend() passes at most to the left, and to the right, of seeds in two documents. Never fewer than it does; -1: unknown.
+
+    They are those that agree up to the first that doesn't, if the words known allow no edit there; else REACH.
+    """
     out = []
-    for shift in (0, 30):
-        x, y = ([(v >> (shift + 6 * j)) & 63 for j in range(5)] for v in (beside, rbeside))
-        may = (beside < 0) | (rbeside < 0) | (x[0] == y[0])
-        for p, q in EDITS:
-            may |= (x[p] == y[q]) & (x[p + 1] == y[q + 1])
-        out.append(may)
+    for shift in (0, 4 * BESIDE):
+        x, y = ([(v >> (shift + 4 * j)) & 15 for j in range(BESIDE)] for v in (beside, rbeside))
+        most, going = np.full(len(beside), REACH), (beside >= 0) & (rbeside >= 0)
+        for m in range(BESIDE):
+            may = x[m] == y[m]
+            edit, aside = np.zeros((2, len(beside)), dtype=bool)
+            for p, q in EDITS:
+                some = np.logical_and.reduce([x[m + p + i] == y[m + q + i] for i in (0, 1) if m + max(p, q) + i < BESIDE] or [np.ones(len(beside), dtype=bool)])
+                edit |= some
+                aside |= some & (p != q)  # counts even where the words agree, since they may do so in these bits alone
+            most[going & ~may & ~edit] = m
+            going &= may & ~aside
+        out.append(most)
     return out[0], out[1]
 
 
@@ -124,7 +136,7 @@ def _emit_seeds(batches):
 
 
 def _frequent(least: int):
-    """Of each batch the seeds it holds at least `least` times, with their first occurrence in it and their number; and all seeds' number (h null)."""
+    """Of each batch the seeds it holds at least `least` times, with their first occurrence in it, what is beside it and their number; and all seeds' number (h null)."""
 
     def run(batches):
         for b in batches:
@@ -135,22 +147,23 @@ def _frequent(least: int):
             ids = b.column("id").to_numpy()[row[at]]
             s = np.lexsort((pos[at], ids, h[at]))
             first = s[np.flatnonzero(np.r_[True, h[at][s][1:] != h[at][s][:-1]])] if len(s) else s
-            cols = [pa.array([*h[at][first].view(np.int64).tolist(), None], pa.int64()), pa.array([*ids[first].tolist(), None], pa.int64()), pa.array([*pos[at][first].tolist(), None], pa.int32()), pa.array([*count[count >= least].tolist(), len(h)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["h", "hid", "hpos", "n"])
+            beside = _beside(*flat(b.column("w")), row[at][first], pos[at][first])
+            cols = [pa.array([*h[at][first].view(np.int64).tolist(), None], pa.int64()), pa.array([*ids[first].tolist(), None], pa.int64()), pa.array([*pos[at][first].tolist(), None], pa.int32()), pa.array([*beside.tolist(), None], pa.int64()), pa.array([*count[count >= least].tolist(), len(h)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["h", "hid", "hpos", "hbeside", "n"])
 
     return run
 
 
 def hot_seeds(coded: DataFrame, share: float = HOT_SHARE, least: int = FREQUENT) -> DataFrame:
-    """h, hid, hpos: seeds of at least that share of all, with an occurrence that but few others come before.
+    """h, hid, hpos, hbeside (_beside()): seeds of at least that share of all, with an occurrence that but few others come before.
 
     Counted are the batches that hold a seed `least` times; so a seed of this share is found unless it is spread thin, and
     then no task is too large for it. At most 1 / share rows.
     """
-    t = coded.mapInArrow(_frequent(least), "h long, hid long, hpos int, n long")
-    t = stored(t.groupBy("h").agg(F.min(F.struct("hid", "hpos")).alias("first"), F.sum("n").alias("n")), "frequent")
+    t = coded.mapInArrow(_frequent(least), "h long, hid long, hpos int, hbeside long, n long")
+    t = stored(t.groupBy("h").agg(F.min(F.struct("hid", "hpos", "hbeside")).alias("first"), F.sum("n").alias("n")), "frequent")
     total = t.filter("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return t.filter(F.col("h").isNotNull() & (F.col("n") >= max(share * total, least))).select("h", "first.hid", "first.hpos")
+    return t.filter(F.col("h").isNotNull() & (F.col("n") >= max(share * total, least))).select("h", "first.hid", "first.hpos", "first.hbeside")
 
 
 def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> DataFrame:
@@ -164,14 +177,18 @@ def links(docs: DataFrame, key: str, text: str, share: float = HOT_SHARE) -> Dat
     coded = docs.select(record_key(docs, key).alias("id"), word_codes(docs[text]).alias("w")).filter("id is not null")
     s = coded.mapInArrow(_emit_seeds, "h long, id long, pos int, beside long")
     hot = hot_seeds(coded, share)
-    if hot.limit(1).count():
-        s = s.join(bounded(hot, 40), "h", "left").withColumn("far", F.coalesce(F.col("id") > F.col("hid"), F.lit(False)))
-        s = s.withColumn("part", F.when(F.col("far"), 1 + F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0))
+    some = hot.limit(1).count() > 0
+    if some:
+        s = s.join(bounded(hot.select("h", "hid"), 32), "h", "left")
+        s = s.withColumn("part", F.when(F.col("id") > F.col("hid"), 1 + F.pmod(F.xxhash64("id"), F.lit(SPREAD))).otherwise(0)).drop("hid")
     else:
-        s = s.select("*", F.lit(0).alias("part"), F.lit(False).alias("far"), F.lit(0).cast("long").alias("hid"), F.lit(0).alias("hpos"))
+        s = s.withColumn("part", F.lit(0))
     w = Window.partitionBy("h", "part").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select("id", "pos", F.when(F.col("far"), F.col("hid")).otherwise(F.first("id").over(w)).alias("ref"), F.when(F.col("far"), F.col("hpos")).otherwise(F.first("pos").over(w)).alias("rpos"), "beside", F.when(F.col("far"), F.lit(-1).cast("long")).otherwise(F.first("beside").over(w)).alias("rbeside"))
-    return s.filter("ref <> id")
+    s = s.select("h", "part", "id", "pos", F.first("id").over(w).alias("ref"), F.first("pos").over(w).alias("rpos"), "beside", F.first("beside").over(w).alias("rbeside")).filter("part > 0 or ref <> id")
+    if some:  # joined again behind the shuffle, which so carries none of its columns
+        s, far = s.join(bounded(hot, 48), "h", "left"), F.col("part") > 0
+        s = s.select("id", "pos", "beside", *[F.when(far, F.col(x)).otherwise(F.col(c)).alias(c) for c, x in (("ref", "hid"), ("rpos", "hpos"), ("rbeside", "hbeside"))])
+    return s.select("id", "pos", "ref", "rpos", "beside", "rbeside")
 
 
 def anchors_of(key: np.ndarray, pos: np.ndarray, rpos: np.ndarray, left: np.ndarray, right: np.ndarray, k: int = K, gap: int = MAX_GAP):
@@ -260,7 +277,7 @@ def _chain(min_words: int):
             at = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
             k, s, e, rs, re, left, right = anchors_of(key, pos, rpos, left, right)
             # What couldn't reach min_words, even if aligned as far as the words beside it allow, is left out: whole pairs first, then chains.
-            lo, hi = np.where(left, s - REACH, s), np.where(right, e + REACH, e)
+            lo, hi = s - left, e + right
             cuts = np.r_[0, np.flatnonzero(np.diff(k)) + 1]
             pairs = np.flatnonzero(long_runs(ids[at], np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), min_words))
             cuts = np.r_[cuts, len(k)]
@@ -386,9 +403,12 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     theirs = F.struct(F.col("ref").alias("doc"), F.lit(1).alias("side"), F.col("rstart").alias("a"), F.col("rend").alias("z"), F.array().cast("array<int>").alias("anchors"))
     sides = found.select("id", "ref", "start", "chain", F.explode(F.array(ours, theirs)).alias("x")).select("id", "ref", "start", "chain", "x.*")
     # a document that others often repeat is joined with their chains in parts
-    often = sides.groupBy("doc").agg(F.ceil(F.count("*") / CHAINS_A_TASK).cast("int").alias("tasks")).filter("tasks > 1")
-    often = bounded(stored(often, "often"), 40)
-    d = docs.select(record_key(docs, key).alias("doc"), short_codes(docs[text]).alias("w")).filter("doc is not null")
+    linked = stored(sides.groupBy("doc").agg(F.ceil(F.count("*") / CHAINS_A_TASK).cast("int").alias("tasks")), "linked")
+    often = bounded(linked.filter("tasks > 1"), 40)
+    d = docs.select(record_key(docs, key).alias("doc"), docs[text].alias("w")).filter("doc is not null")
+    if fits(linked, 40):  # words are made of the texts in chains alone; else all, since a shuffle of texts costs more
+        d = d.join(F.broadcast(linked.select("doc")), "doc", "left_semi")
+    d = d.select("doc", short_codes(d["w"]).alias("w"))
     if docs.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).limit(1).count():
         d = d.groupBy("doc").agg(F.max("w").alias("w"))
     released(docs.sparkSession)

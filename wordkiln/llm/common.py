@@ -99,9 +99,14 @@ def parts(n_rows: int, target: int, least: int = 1) -> int:
     return max(least, -(-n_rows // target))
 
 
+def fits(df: DataFrame, width: int) -> bool:
+    """Whether df's rows, counted, take at most BROADCAST_BYTES at width bytes each."""
+    return df.count() * width <= BROADCAST_BYTES
+
+
 def bounded(df: DataFrame, width: int) -> DataFrame:
-    """df marked for broadcast if its rows, counted, take at most BROADCAST_BYTES at width bytes each; else as it is."""
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+    """df marked for broadcast if it fits(); else as it is."""
+    return F.broadcast(df) if fits(df, width) else df
 
 
 def record_key(docs: DataFrame, key: str) -> Column:

@@ -147,7 +147,8 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     apart rows that share a key. Texts without tokens (null, blank) and rows with a null key take no place. Only
     keys and lengths are shuffled. An empty table gives an empty one. Other columns are not read.
     """
-    d = docs.select(docs[key].cast("long").alias("doc_id"), token_count(docs[text]).alias("n"), F.xxhash64(docs[text]).alias("h")).filter("doc_id is not null and n > 0")
+    d = docs.select(docs[key].cast("long").alias("doc_id"), token_count(docs[text]).alias("n"), F.xxhash64(docs[text]).alias("h"), docs[text].rlike(r"(?U)\S").alias("some"))
+    d = d.filter("doc_id is not null and some")  # not n > 0: that would count tokens a second time, under the filter
     n = docs.count()
     # rows alike are numbered within their group, not by a window over all rows of a key
     d = d.groupBy("doc_id", "h", "n").agg(F.count("*").alias("rows"))
