@@ -26,6 +26,28 @@ def test_translation_by_joins(spark):
     assert got == {1: "«broken», server!", 2: "ne, pratsyuye", 3: "dead server", 4: "  ", 5: None, 6: "how? how? ok"}
 
 
+def _shuffled(df):
+    """What the parts of a plan that are shuffled hold, by their exchanges."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in line or "Exchange Round" in line]
+
+
+def test_words_are_joined_without_shuffling_tokens(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    lex = spark.createDataFrame([("of the", "OF"), ("on", "@")], "word string, en_compressed string")
+    forms = spark.createDataFrame([("and", "&")], "form string, lemma string")
+    rules = spark.createDataFrame([("and", "&", 0)], "word string, replacement string, ord int")
+    for d in (words.translate_words(docs, lex), words.translate_words(docs, lex, lemmas=forms), words.replace_words(docs, rules), providers.lemmatize_table(docs, forms, "doc_id", "text", "l")):
+        tokens = [x for x in _shuffled(d) if "_key" in x or "pos" in x]
+        assert tokens == [] and sum("doc_id" in x for x in _shuffled(d)) == 1
+
+
+def test_rows_of_one_key_and_of_none_are_translated_apart(spark):
+    lex = spark.createDataFrame([("a b", "AB"), ("b c d", "BCD"), ("a", "1")], "word string, en_compressed string")
+    rows = [(1, "a b c d", "x"), (1, "a a b", "y"), (None, "A b, a", "z"), (None, "b c d a b a b", "u"), (2, "", "v"), (2, None, "w"), (3, "b c b c d b", "t")]
+    got = {r.tag: r.english for r in words.translate_words(spark.createDataFrame(rows, "doc_id long, text string, tag string"), lex).collect()}
+    assert got == {"x": "1 BCD", "y": "1 AB", "z": "AB, 1", "u": "BCD AB AB", "v": "", "w": None, "t": "b c BCD b"}
+
+
 def test_chunking(spark):
     def chunks(texts, least=50, most=300):
         d = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "source string, pos int, text string")

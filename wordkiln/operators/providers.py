@@ -57,8 +57,8 @@ def lemmatize_table(df: DataFrame, forms: DataFrame, key: str, text: str, out: s
     """The same with a table of forms (form, lemma) of any size."""
     from .words import exploded, hinted, joined_again
 
-    t = exploded(df.withColumn("_low", F.lower(text)), key, "_low").join(hinted(forms.select(F.col("form").alias("core"), "lemma").dropDuplicates(["core"])), "core", "left")
-    return joined_again(t.withColumn(out, F.concat("prefix", F.coalesce("lemma", "core"), "suffix")), df, key, out)
+    t = exploded(df, key, F.lower(text)).join(hinted(forms.select(F.col("form").alias("core"), "lemma").dropDuplicates(["core"])), "core", "left")
+    return joined_again(t.withColumn(out, F.concat("prefix", F.coalesce("lemma", "core"), "suffix")), df, out)
 
 
 @dataclass

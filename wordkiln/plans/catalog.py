@@ -99,7 +99,7 @@ def unigram_replace(spark, d):
 def unigram_replace_join(spark, d):
     """The same by joining tokens to a rule table, as for tables too large for an expression."""
     rules = R.rules_table(spark, RULES).filter("ngram = 1")
-    return words.replace_words(_docs(spark, d), rules, out="done").select("doc_id", F.col("done").alias("text"))
+    return words.replace_words(_table(spark, d, "documents"), rules, out="done").select("doc_id", F.col("done").alias("text"))
 
 
 @query(f"SELECT doc_id, {S.patterns('text', RULES.patterns)} AS text FROM documents")
@@ -176,7 +176,7 @@ def _translated_sql(single: dict[str, str]) -> str:
 
 @query(_translated_sql(_SINGLE))
 def translate_words(spark, d):
-    return words.translate_words(_docs(spark, d), spark.createDataFrame(LEXICON, "word string, en_compressed string")).select("doc_id", "english")
+    return words.translate_words(_table(spark, d, "documents"), spark.createDataFrame(LEXICON, "word string, en_compressed string")).select("doc_id", "english")
 
 
 _LEXICON_ROWS = [
@@ -577,7 +577,7 @@ _LEMMAS = {"and": "la", "is": "on", "das": "der"}
 def translate_words_lemmas(spark, d):
     """Words that the dictionary lacks are translated by their lemmas."""
     lemmas = spark.createDataFrame(list(_LEMMAS.items()), "form string, lemma string")
-    return words.translate_words(_docs(spark, d), spark.createDataFrame(LEXICON, "word string, en_compressed string"), lemmas=lemmas).select("doc_id", "english")
+    return words.translate_words(_table(spark, d, "documents"), spark.createDataFrame(LEXICON, "word string, en_compressed string"), lemmas=lemmas).select("doc_id", "english")
 
 
 _FORMS = {"їсть": "їсти", "жаба": "жабка"}
@@ -597,7 +597,7 @@ _BY_TABLE = f"CASE WHEN {S.core('t')} = '' THEN t ELSE {S.prefix('t')} || CASE {
 @query(f"SELECT doc_id, array_to_string(list_transform({S.tokens('lower(text)')}, lambda t: {_BY_TABLE}), ' ') AS text FROM documents")
 def lemmatize_join(spark, d):
     forms = spark.createDataFrame(list(_TABLE_FORMS.items()), "form string, lemma string")
-    return providers.lemmatize_table(_docs(spark, d), forms, "doc_id", "text", "lemmas").select("doc_id", F.col("lemmas").alias("text"))
+    return providers.lemmatize_table(_table(spark, d, "documents"), forms, "doc_id", "text", "lemmas").select("doc_id", F.col("lemmas").alias("text"))
 
 
 _MORPHOLOGY = Morphology([

@@ -42,15 +42,26 @@ def lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\r?\n"), X.strip), lambda p: p != "")
 
 
-#: Bytes a core should have of a table, by Catalyst's estimate, before its rows are left where their files put them.
-CORE_BYTES = 16 << 20
+#: Bytes of a table, by Catalyst's estimate, that a task should have; estimates of more than KNOWN_BYTES are none.
+PIECE_BYTES, KNOWN_BYTES = 4 << 20, 1 << 50
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores: the few row groups of its files would keep most of them idle. A large one as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def pieces(df: DataFrame) -> int | None:
+    """Into how many tasks a table should be dealt: two a core at least, and no more than PIECE_BYTES each; None if its size isn't known."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(2 * cores) if size < cores * CORE_BYTES else df
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES)) if size < KNOWN_BYTES else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table dealt to tasks of a size that doesn't grow with it: the files' row groups can be few and large. One of unknown size as it is."""
+    n = pieces(df)
+    return df.repartition(n) if n else df
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The same with all rows of a key in one task, so that grouping by it, or by it and more, shuffles nothing else."""
+    n = pieces(df)
+    return df.repartition(n, key) if n else df.repartition(key)
 
 
 def read_txt(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
