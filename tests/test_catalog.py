@@ -57,3 +57,14 @@ def test_style_predict_trains_with_the_default_terms(spark, data, monkeypatch):
     with pytest.raises(Trained) as e:
         catalog.queries()["style_predict"](spark, data)
     assert e.value.args == (FEATURES,)
+
+
+@pytest.mark.parametrize("name, sign", [("normalize_full", "o/t"), ("compress_by_model", "o/t"), ("untranslated_ratio", "частина"), ("answers_with_fallback", "частина")])
+def test_texts_are_rewritten_once(spark, data, name, sign):
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(sign) == 1 and "Union" not in plan
+
+
+def test_retrieval_reads_the_texts_for_figures_hits_and_results_only(spark, data):
+    plan = catalog.queries()["retrieve_filter_extract"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents.parquet") + plan.count("Relation [") <= 3 and "Aggregate [term" not in plan

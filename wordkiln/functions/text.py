@@ -228,9 +228,8 @@ def reverse_translate(c: Column, dictionary: dict[str, str]) -> Column:
 
 def untranslated_ratio(c: Column) -> Column:
     """Share of tokens that begin with a Latin letter and hold no Cyrillic one; 0 for blank."""
-    ts = tokens(c)
-    foreign = F.filter(ts, lambda t: core(t, R.PEELED_REVERSE).rlike("^[A-Za-z]") & ~core(t, R.PEELED_REVERSE).rlike("(?iu)[а-яіїєґ]"))
-    return F.when(F.size(ts) > 0, F.size(foreign) / F.size(ts)).otherwise(0.0)
+    foreign = lambda t: core(t, R.PEELED_REVERSE).rlike(r"^[A-Za-z](?iu:[^а-яіїєґ]*+)\z")
+    return let(tokens(c), lambda ts: F.when(F.size(ts) > 0, F.size(F.filter(ts, foreign)) / F.size(ts)).otherwise(0.0))
 
 
 _CODE = r"(?m)^\s*(?:(?:const|let|var|function|class|import)|(?:async )?def|from .+ import) "

@@ -54,19 +54,26 @@ def rewrite_system(df: DataFrame, rewrite: Callable[[Column], Column] | None = N
     return d.withColumn(blocks, rewrite_parts(F.col(blocks), rewrite, True, skip)) if blocks else d
 
 
+def _in_python(df: DataFrame) -> bool:
+    """Whether some of its columns are made by Python functions, which get all rows whatever condition stands around them."""
+    return "EvalPython" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def rewrite_answers(df: DataFrame, dictionary: dict[str, str], text: str = "text", kind: str | None = None, translate: Callable[[Column], Column] | None = None, threshold: float = 0.3, out: str = "restored", morphology: Morphology | None = None) -> DataFrame:
     """Answers turned back; blocks of a kind other than text stay. Where more than threshold of the words stay foreign and
     a translator is given, its result counts, unless it fails or is blank. Only those rows reach it. With a morphology
     neighbouring words are put in agreement."""
-    d = in_agreement(df, dictionary, morphology, text, "_w") if morphology else df.withColumn("_w", X.reverse_translate(F.col(text), dictionary))
+    d = in_agreement(df, dictionary, morphology, text, "_w") if morphology else X.settled(df, "_w", X.reverse_translate(F.col(text), dictionary))
     if translate is None:
         d = d.withColumn(out, F.col("_w"))
     else:
-        asked = F.when(X.untranslated_ratio(F.col("_w")) > threshold, F.col(text))
-        d = d.withColumn("_asked", asked)
-        few, rest = d.filter(F.col("_asked").isNotNull()), d.filter(F.col("_asked").isNull())
-        few = few.withColumn("_t", translate(F.col("_asked"))).withColumn(out, F.when(F.coalesce(X.strip(F.col("_t")), F.lit("")) != "", F.col("_t")).otherwise(F.col("_w"))).drop("_t")
-        d = few.unionByName(rest.withColumn(out, F.col("_w"))).drop("_asked")
+        d = X.settled(d, "_asked", F.when(X.untranslated_ratio(F.col("_w")) > threshold, F.col(text)))
+        given = lambda x: x.withColumn(out, F.when(F.coalesce(X.strip(F.col("_t")), F.lit("")) != "", F.col("_t")).otherwise(F.col("_w"))).drop("_t", "_asked")
+        if _in_python(d.select(translate(F.col("_asked")))):
+            few, rest = d.filter(F.col("_asked").isNotNull()), d.filter(F.col("_asked").isNull())
+            d = given(few.withColumn("_t", translate(F.col("_asked")))).unionByName(rest.withColumn(out, F.col("_w")).drop("_asked"))
+        else:
+            d = given(X.settled(d, "_t", F.when(F.col("_asked").isNotNull(), translate(F.col("_asked")))))
     if kind:
         d = d.withColumn(out, F.when(F.col(kind) == "text", F.col(out)).otherwise(F.col(text)))
     return d.drop("_w")
