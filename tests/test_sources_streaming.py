@@ -102,3 +102,28 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = S.replay(spark.createDataFrame([(r[0], r[1], r[3]) for r in rows if r[2] == "delta"], "stream_id string, seq int, token string"))
     for k, (_, want) in enumerate(FED):
         assert [r.sentence for r in batch.filter(f"stream_id = 's{k}'").orderBy("part").collect()] == want
+
+
+def test_finished_streams_are_fed_without_a_call_for_each(spark):
+    from wordkiln.streaming.sentences import replay
+
+    rows = [("b", 1, " end"), ("b", 0, "An"), ("a", 0, "Hi."), ("a", 1, None), ("a", 2, " One"), ("a", 3, " two."), (None, 0, "x"), (None, 1, "\ny"), ("c", 0, ""), ("b", 2, ".\"")]
+    d = spark.createDataFrame(rows, "stream_id string, seq int, token string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        r = replay(d)
+        assert "FlatMapGroups" not in r._jdf.queryExecution().optimizedPlan().toString()
+        got = {tuple(x) for x in r.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {("a", 0, "Hi."), ("a", 1, " One two."), ("b", 0, 'An end."'), (None, 0, "x\n"), (None, 1, "y")}
+
+
+def test_tables_of_any_size_are_dealt_to_small_tasks(spark):
+    from wordkiln.sources import files
+
+    d = spark.range(100_000_000, numPartitions=2)  # 800 MB by estimate
+    for dealt in (files.spread(d), files.dealt(d, "id")):
+        assert dealt.rdd.getNumPartitions() == -(-800_000_000 // files.PIECE_BYTES)
+    assert files.spread(spark.range(10)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism

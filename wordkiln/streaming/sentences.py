@@ -6,22 +6,27 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _CLOSES = "A-Za-zА-Яа-яЄІЇєіїҐґ'\")\\]"
+#: No token without any of these ends a sentence.
+_SIGN = re.compile(r"[\n.!?]")
 _STOP = re.compile(rf"\n|(?:\.\.\.|(?<=[{_CLOSES}])[?!.])(?=\s|\Z)")
 
 
 def feed(held: str, token: str | None) -> tuple[list[str], str]:
     """Sentences complete once token is added to what is held, and what stays. An end of the text held so far counts as an
-    end of the sentence, so the result depends on where tokens end."""
+    end of the sentence, so the result depends on where tokens end. What was held has no end in it, so only its last two
+    characters are looked at again."""
+    at = max(0, len(held) - 2)
     held += token or ""
     out = []
-    while m := _STOP.search(held):
+    while m := _STOP.search(held, at):
         out.append(held[: m.end()])
-        held = held[m.end() :]
+        held, at = held[m.end() :], 0
     return out, held
 
 
@@ -94,12 +99,30 @@ def replay(df: DataFrame, stops: tuple[str, ...] = ()) -> DataFrame:
     For streams that are complete; gives what sentences() gives for the same tokens with is_end on the last.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = "", []
-        for t in pdf.sort_values("seq", kind="stable")["token"]:
-            done, held = feed(held, t if isinstance(t, str) else None)
-            out += done
-        out += flush(held)
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "part": range(len(out)), "sentence": out}).astype({"part": "int32"})
-
-    return df.groupBy("stream_id").applyInPandas(run, "stream_id string, part int, sentence string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # tokens come stream by stream: parts are what is held of the one that is open, and n its sentences so far
+        open_, parts, n, begun = None, [], 0, False
+        for batch in batches:
+            rows: list[tuple[str | None, int, str]] = []
+            for stream, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if stream != open_ or not begun:
+                    rows += [(open_, n + i, s) for i, s in enumerate(flush("".join(parts)))]
+                    open_, parts, n, begun = stream, [], 0, True
+                if not token:
+                    continue
+                if not _SIGN.search(token):
+                    parts.append(token)
+                    continue
+                done, held = feed("".join(parts), token)
+                rows += [(stream, n + i, s) for i, s in enumerate(done)]
+                n, parts = n + len(done), [held]
+            yield _rows(rows)
+        yield _rows([(open_, n + i, s) for i, s in enumerate(flush("".join(parts)))])
+
+    d = df.select(F.col("stream_id").cast("string"), "token", "seq").repartition("stream_id").sortWithinPartitions("stream_id", F.col("seq").asc_nulls_last())
+    return d.select("stream_id", "token").mapInArrow(run, "stream_id string, part int, sentence string")
+
+
+def _rows(rows: list[tuple[str | None, int, str]]) -> pa.RecordBatch:
+    ids, parts, texts = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.int32()), pa.array(texts, pa.string())], ["stream_id", "part", "sentence"])
