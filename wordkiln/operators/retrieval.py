@@ -34,7 +34,7 @@ def retrieve(candidates: DataFrame, classify: Callable[[Column], Column] | None,
     if strategy == "full_scan":
         d = candidates.withColumn(score, F.lit(0.0))
     else:
-        size = prefilter_size(candidates.count(), k)
+        size = k or prefilter_size(candidates.count())  # a limit above their number is none: counting would search twice
         d = candidates.orderBy(F.col(score).desc(), key).limit(size)
     if strategy != "filter":
         d = d.filter(X.yes_no(classify(F.col(text))))

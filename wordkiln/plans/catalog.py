@@ -318,7 +318,7 @@ def text_column_pick(spark, d):
 
 @query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents) GROUP BY term, doc_id")
 def postings(spark, d):
-    return lexical.postings(_docs(spark, d))
+    return lexical.postings(_table(spark, d, "documents"))
 
 
 @query(f"SELECT doc_id, len({S.terms('text')})::BIGINT AS n_terms FROM documents")
