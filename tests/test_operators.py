@@ -198,3 +198,10 @@ def test_lexicon_rebuild_keeps_other_sources(spark):
     old = once.union(spark.createDataFrame([("своє", None, None, "", 1, False, "manual")], once.schema))
     assert {tuple(r) for r in lexicon.build(rules, english, old).collect()} == {tuple(r) for r in old.collect()}
     assert lexicon.dictionary(lexicon.reverse(once.withColumn("id", F.monotonically_increasing_id()))) == {"error": "помилка"}
+
+
+def test_style_terms_are_counted_as_a_table(spark):
+    rows = [("one two one", "a"), ("two three", "b"), ("one two", "a")]
+    held = spark.createDataFrame([(t.split(), y) for t, y in rows], "__g array<string>, y string")
+    assert stylemodel.StyleModel._counter(held, 2).vocabulary == ["one", "two"]
+    assert stylemodel.StyleModel._counter(held, 9).vocabulary == ["one", "two", "three"]

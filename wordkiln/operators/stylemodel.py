@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IndexToString, Normalizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +34,25 @@ class StyleModel:
         pairs = "zip_with(slice(__w, 1, greatest(size(__w) - 1, 0)), slice(__w, 2, greatest(size(__w) - 1, 0)), (a, b) -> concat(a, ' ', b))"
         grams = f"SELECT *, concat(__w, {pairs}) AS __g FROM __THIS__"
         names = StringIndexer(inputCol=label, outputCol="__y", handleInvalid="skip").fit(df)
-        stages = [
-            SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS __t FROM __THIS__"),
-            SQLTransformer(statement=words),
-            SQLTransformer(statement=grams),
-            CountVectorizer(inputCol="__g", outputCol="__c", vocabSize=features),
-            IDF(inputCol="__c", outputCol="__i"),
-            Normalizer(inputCol="__i", outputCol="__x"),
-        ]
-        split = Pipeline(stages=stages[:3]).fit(df)
+        split = Pipeline(stages=[SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS __t FROM __THIS__"), SQLTransformer(statement=words), SQLTransformer(statement=grams)]).fit(df)
         held = split.transform(df).persist()
         try:
-            counted = Pipeline(stages=stages[3:]).fit(held)
+            counted = Pipeline(stages=[cls._counter(held, features), IDF(inputCol="__c", outputCol="__i"), Normalizer(inputCol="__i", outputCol="__x")]).fit(held)
             ready = names.transform(counted.transform(held)).select("__x", "__y").persist()
             return cls(cls._fitted(split, counted, ready, names.labels, regularisation))
         finally:
             held.unpersist()
 
+    @staticmethod
+    def _counter(held: DataFrame, features: int) -> CountVectorizerModel:
+        """What CountVectorizer would fit, equal counts by the term: its shuffle has as many tasks as the texts have, however
+        many terms they hold, while a table's follows the session's settings."""
+        counts = held.select(F.explode("__g").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+        terms = [r["g"] for r in counts.orderBy(F.col("n").desc(), "g").limit(features).collect()]
+        if not terms:
+            raise ValueError("the style model needs a text with a word")
+        return CountVectorizerModel.from_vocabulary(terms, "__g", "__c")
+
     @staticmethod
     def _fitted(split: PipelineModel, counted: PipelineModel, ready: DataFrame, labels: list[str], regularisation: float) -> PipelineModel:
         regression = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", predictionCol="__k", rawPredictionCol="__r", family="multinomial", regParam=regularisation, maxIter=100).fit(ready)
