@@ -20,6 +20,16 @@ def squeeze(c: Column, resources: R.Resources = R.SEED, lexicon: list | None = N
     return F.when(X.blank(c), c).otherwise(s)
 
 
+def with_squeezed(df: DataFrame, out: str, text: str = "text", resources: R.Resources = R.SEED, lexicon: list | None = None, compressor: Callable[[Column], Column] | None = None) -> DataFrame:
+    """df with squeeze() of its text, computed once; the normalised text, which a compressor and the rules both take, too."""
+    if not compressor:
+        return X.settled(df, out, squeeze(F.col(text), resources, lexicon))
+    d = X.settled(df, "_nt", X.normalize(F.col(text), resources))
+    s = F.coalesce(compressor(F.col("_nt")), X.compress(F.col("_nt"), resources))
+    s = X.translate(s, lexicon) if lexicon else s
+    return X.settled(d, out, F.when(X.blank(F.col(text)), F.col(text)).otherwise(s)).drop("_nt")
+
+
 def squeezed(df: DataFrame, text: str = "text", resources: R.Resources = R.SEED, lexicon: list | None = None, counters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """df with squeezed, replacements_made, tokens_saved (map by counter) and compression_ratio (of the first counter, to 3
     places; null for no tokens). Without counters words count."""
@@ -43,7 +53,7 @@ def percent_saved(before: Column, after: Column) -> Column:
 
 def token_stats(df: DataFrame, counters: dict[str, Callable[[Column], Column]], text: str = "text", resources: R.Resources = R.SEED) -> DataFrame:
     """df with squeezed_text and, for each counter, its tokens, those of the squeezed text and the percentage saved."""
-    d = X.settled(df, "squeezed_text", squeeze(F.col(text), resources))
+    d = with_squeezed(df, "squeezed_text", text, resources)
     for n, f in counters.items():
         d = d.withColumn(n, f(F.col(text))).withColumn(f"{n}_squeezed", f(F.col("squeezed_text")))
         d = d.withColumn(f"savings_{n}_pct", percent_saved(F.col(n), F.col(f"{n}_squeezed")))

@@ -109,8 +109,8 @@ def pattern_cleanup(spark, d):
 
 @query(f"SELECT doc_id, {S.normalize('text', RULES)} AS text, {S.normalize('text', RULES)} <> text AS changed FROM documents")
 def normalize_full(spark, d):
-    n = _docs(spark, d).select("doc_id", X.normalized(F.col("text"), RULES).alias("n"))
-    return n.select("doc_id", "n.text", "n.changed")
+    n = X.settled(_docs(spark, d).select("doc_id", F.col("text").alias("original")), "text", X.normalize(F.col("original"), RULES))
+    return n.select("doc_id", "text", (F.col("text") != F.col("original")).alias("changed"))
 
 
 _GOLDEN = [("шо там", "що там", 1), ("пофікси баг", "виправ помилка", 2), ("шо?", "що?", 1), ("крч", "", 1), ("", "", 0), ("слово  слово", "слово слово", 0), ("ну, давай зробимо", "давай зробимо", 1)]
@@ -208,7 +208,8 @@ _FOREIGN = f"regexp_matches({S.core('t', R.PEELED_REVERSE)}, '^[A-Za-z]') AND NO
     SELECT doc_id, coalesce(ratio, 0.0) AS ratio FROM b LEFT JOIN n USING (doc_id)"""
 )
 def untranslated_ratio(spark, d):
-    return _docs(spark, d).select("doc_id", F.round(X.untranslated_ratio(X.reverse_translate(F.col("text"), DICTIONARY)), 6).alias("ratio"))
+    back = X.settled(_docs(spark, d), "back", X.reverse_translate(F.col("text"), DICTIONARY))
+    return back.select("doc_id", F.round(X.untranslated_ratio(F.col("back")), 6).alias("ratio"))
 
 
 _RULE_ROWS = [("Баг", "помилка", 0, "it", 0), ("крч", None, 1, "filler", 1), ("не понятно", "не зрозуміло", 0, "", 2), ("баг", "хиба", 1, "it", 3)]
@@ -485,7 +486,7 @@ def squeeze_documents(spark, d):
 def compress_by_model(spark, d):
     """A model that answers for some texts takes the place of the rules there."""
     model = lambda c: F.when(c.contains(" & "), F.left(c, F.lit(40)))
-    return _docs(spark, d).select("doc_id", tokens.squeeze(F.col("text"), RULES, compressor=model).alias("text"))
+    return tokens.with_squeezed(_docs(spark, d), "squeezed", resources=RULES, compressor=model).select("doc_id", F.col("squeezed").alias("text"))
 
 
 @query("SELECT vec_id, (4 * len(embedding))::INTEGER AS size, true AS same FROM embeddings")

@@ -58,10 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if n else df
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """The same with all rows of a key in one task, so that grouping by it, or by it and more, shuffles nothing else."""
+def dealt(df: DataFrame, key: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The same with all rows of a key in one task, so that grouping by it, or by it and more, shuffles nothing else; of the
+    columns named, if any are: the estimate for few columns takes no account of texts being the largest."""
     n = pieces(df)
-    return df.repartition(n, key) if n else df.repartition(key)
+    d = df.select(*columns) if columns else df
+    return d.repartition(n, key) if n else d.repartition(key)
 
 
 def read_txt(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
